@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import p01_overlap, p02_leaks, p07_cutoff
+from skein.llm import p01_overlap, p02_leaks, p03_near, p07_cutoff
 
 _LATEST_SCORES = """
     SELECT doc_id, bucket, quality_score AS score FROM (
@@ -28,6 +28,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_report": p01_overlap.p1_report,
     "p2_found": p02_leaks.p2_found,
     "p2_report": p02_leaks.p2_report,
+    "p3_found": p03_near.p3_found,
+    "p3_groups": p03_near.p3_groups,
     "p7_found": p07_cutoff.p7_found,
     "p7_cutoffs": p07_cutoff.p7_cutoffs,
 }
