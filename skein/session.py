@@ -56,9 +56,9 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster, once per application."""
+    """Send this package to the Python workers, once per application."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     target = Path(tempfile.mkdtemp(prefix="skein-ship-")) / "skein.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
