@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import p01_overlap, p02_leaks, p03_near, p07_cutoff
+from skein.llm import p01_overlap, p02_leaks, p03_near, p05_mixture, p07_cutoff, p08_encode, p09_pack
 
 _LATEST_SCORES = """
     SELECT doc_id, bucket, quality_score AS score FROM (
@@ -30,8 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_report": p02_leaks.p2_report,
     "p3_found": p03_near.p3_found,
     "p3_groups": p03_near.p3_groups,
+    "p5_copies": p05_mixture.p5_copies,
+    "p5_report": p05_mixture.p5_report,
     "p7_found": p07_cutoff.p7_found,
     "p7_cutoffs": p07_cutoff.p7_cutoffs,
+    "p8_ids": p08_encode.p8_ids,
+    "p9_containers": p09_pack.p9_containers,
+    "p9_fill": p09_pack.p9_fill,
 }
 
 ORACLE: dict[str, str] = {
