@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import p01_overlap, p02_leaks, p03_near, p05_mixture, p07_cutoff, p08_encode, p09_pack
+from skein.llm import p01_overlap, p02_leaks, p03_near, p05_mixture, p07_cutoff, p08_encode, p09_pack, p10_sentences
 
 _LATEST_SCORES = """
     SELECT doc_id, bucket, quality_score AS score FROM (
@@ -37,6 +37,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p08_encode.p8_ids,
     "p9_containers": p09_pack.p9_containers,
     "p9_fill": p09_pack.p9_fill,
+    "p10_found": p10_sentences.p10_found,
+    "p10_sentences": p10_sentences.p10_sentences,
 }
 
 ORACLE: dict[str, str] = {
