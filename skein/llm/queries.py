@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import p01_overlap, p02_leaks, p03_near, p05_mixture, p07_cutoff, p08_encode, p09_pack, p10_sentences
+from skein.llm import p01_overlap, p02_leaks, p03_near, p05_mixture, p06_markup, p07_cutoff, p08_encode, p09_pack, p10_sentences
 
 _LATEST_SCORES = """
     SELECT doc_id, bucket, quality_score AS score FROM (
@@ -32,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_groups": p03_near.p3_groups,
     "p5_copies": p05_mixture.p5_copies,
     "p5_report": p05_mixture.p5_report,
+    "p6_found": p06_markup.p6_found,
+    "p6_clean": p06_markup.p6_clean,
     "p7_found": p07_cutoff.p7_found,
     "p7_cutoffs": p07_cutoff.p7_cutoffs,
     "p8_ids": p08_encode.p8_ids,
