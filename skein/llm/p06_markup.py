@@ -34,7 +34,7 @@ KINDS = ("html", "markdown", "wiki", "latex")
 LABELS = ("text", *KINDS, "formula", "code")
 TEXT, HTML, MARKDOWN, WIKI, LATEX, FORMULA, CODE = range(len(LABELS))
 #: Labelled pages that the model is trained on.
-PAGES = 500
+PAGES = 800
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|</?[A-Za-z][A-Za-z0-9]*(?:\s+[^<>\n]*|/)?/?>|<![A-Za-z][^<>\n]*>", re.S)
 TAG_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)")
@@ -229,7 +229,7 @@ class Chain:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, rate: float = 0.3, prior: float = 0.02) -> Chain:
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 150, rate: float = 0.1, prior: float = 0.02) -> Chain:
     """Gradient ascent (Adam) on the conditional log-likelihood, all pages at once."""
     n, steps, many = len(pages), max(len(p) for p, _ in pages), len(LABELS)
     x = np.zeros((n, steps, len(FEATURES)))
@@ -294,7 +294,7 @@ def training_pages(n: int, seed: int = 7) -> list[tuple[list[Block], list[int]]]
             lambda: [("#" * r.randint(1, 6) + " " + words(), MARKDOWN)], lambda: [(words(), TEXT), ("=" * r.randint(5, 20), MARKDOWN)],
             lambda: [(r.choice("*-+") + " " + words(), MARKDOWN) for _ in range(r.randint(2, 5))], lambda: [(f"{k}. {words()}", MARKDOWN) for k in range(1, 4)],
             lambda: [(decorated("**{}**", "*{}*", "__{}__", "`{}`", "[{}](https://a.example/p)", "~~{}~~", "![{}](i.png)"), MARKDOWN)], lambda: [(words() + ". See [" + words(1, 2) + "](https://a.example/p). " + words(), MARKDOWN)],
-            lambda: [("> " + words(), MARKDOWN)], lambda: [("```" + r.choice(["", "python", "text"]), MARKDOWN), *((c, CODE) for c in r.sample(code, 3)), ("```", MARKDOWN)],
+            lambda: [("> " + words(), MARKDOWN)], lambda: [(r.choice(["---", "***", "----"]), MARKDOWN)], lambda: [(r.choice(formulas), FORMULA), ("#" * r.randint(1, 4) + " " + words(), MARKDOWN)], lambda: [("```" + r.choice(["", "python", "text"]), MARKDOWN), *((c, CODE) for c in r.sample(code, 3)), ("```", MARKDOWN)],
             lambda: [("| a | b |", MARKDOWN), ("|---|---|", MARKDOWN), ("| 1 | 2 |", MARKDOWN)], lambda: [("- [x] " + words(), MARKDOWN)], lambda: [(words(), TEXT)], lambda: [(r.choice(formulas), FORMULA)],
         ])()
 
@@ -302,7 +302,7 @@ def training_pages(n: int, seed: int = 7) -> list[tuple[list[Block], list[int]]]
         return r.choice([
             lambda: [("=" * (k := r.randint(2, 4)) + " " + words() + " " + "=" * k, WIKI)], lambda: [("{{Infobox x", WIKI), ("| name = " + words(1, 3), WIKI), ("| rank = 3", WIKI), ("}}", WIKI)],
             lambda: [(r.choice(["*", "#", "**", ":", "##", "*#"]) + " " + words(), WIKI) for _ in range(r.randint(2, 5))], lambda: [(decorated("[[{}]]", "[[A page|{}]]", "'''{}'''", "''{}''", "{{{{cite|{}}}}}"), WIKI)],
-            lambda: [("{| class=wikitable", WIKI), ("|-", WIKI), ("| 1 || 2", WIKI), ("|}", WIKI)], lambda: [("[[Category:" + words(1, 3) + "]]", WIKI)], lambda: [("__NOTOC__", WIKI)], lambda: [("; " + words(1, 2) + " : " + words(1, 3), WIKI)],
+            lambda: [("{| class=wikitable", WIKI), ("|-", WIKI), ("| 1 || 2", WIKI), ("|}", WIKI)], lambda: [("[[Category:" + words(1, 3) + "]]", WIKI)], lambda: [("__NOTOC__", WIKI)], lambda: [("----", WIKI)], lambda: [("; " + words(1, 2) + " : " + words(1, 3), WIKI)],
             lambda: [(words() + ".<ref name=r1>" + words(1, 4) + "</ref> <math>x^2</math>", -WIKI)], lambda: [(words(), TEXT)],
         ])()
 
