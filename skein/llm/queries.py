@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import p01_overlap, p02_leaks, p03_near, p05_mixture, p06_markup, p07_cutoff, p08_encode, p09_pack, p10_sentences
+from skein.llm import p01_overlap, p02_leaks, p03_near, p04_scan, p05_mixture, p06_markup, p07_cutoff, p08_encode, p09_pack, p10_sentences
 
 _LATEST_SCORES = """
     SELECT doc_id, bucket, quality_score AS score FROM (
@@ -30,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_report": p02_leaks.p2_report,
     "p3_found": p03_near.p3_found,
     "p3_groups": p03_near.p3_groups,
+    "p4_found": p04_scan.p4_found,
+    "p4_repair": p04_scan.p4_repair,
     "p5_copies": p05_mixture.p5_copies,
     "p5_report": p05_mixture.p5_report,
     "p6_found": p06_markup.p6_found,
