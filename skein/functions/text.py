@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space that str.strip removes, as a character class of both regular-expression dialects (fixed values).
 BLANK = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -41,7 +42,7 @@ def strip_html(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]+>", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The full table of entities, which no built-in function has."""
     for t in texts:

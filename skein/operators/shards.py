@@ -58,10 +58,9 @@ def windows(tokens: Column, start: Column, length: int) -> tuple[Column, Column]
 
 def masked_labels(ids: Column, n_prompt: Column, context: int) -> Column:
     """The ids moved by one, cut to the context, with the prompt's places at -100."""
-    cut = F.slice(ids, 1, context)
-    labels = F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0)))
-    hidden = F.least(F.greatest(n_prompt - 1, F.lit(0)), F.size(labels))
-    return F.transform(labels, lambda x, i: F.when(i < hidden, F.lit(-100)).otherwise(x))
+    n = F.greatest(F.least(F.size(ids), F.lit(context)) - 1, F.lit(0))
+    hidden = F.least(F.greatest(n_prompt - 1, F.lit(0)), n)
+    return F.concat(F.array_repeat(F.lit(-100), hidden), F.slice(ids, hidden + 2, n - hidden))
 
 
 def padded(array: Column, length: Column, filler: int) -> Column:
