@@ -99,8 +99,9 @@ def level_of(s: Column, text: Column) -> Column:
     )
 
 
-def topic_counts(domain: str, text: Column) -> dict[str, Column]:
-    return {name: count_words(F.lower(text), words, CODE_FOLLOW.get(name, "") if domain == "code" else "") for name, words in TOPICS[domain][0].items()}
+def topic_counts(domain: str, text: Column, own: Column) -> dict[str, Column]:
+    """Counts by topic of a text and its words (``words_of``)."""
+    return {name: count_words(text, own, words, CODE_FOLLOW.get(name, "") if domain == "code" else "") for name, words in TOPICS[domain][0].items()}
 
 
 def topic_of(domain: str, counts: dict[str, Column]) -> Column:

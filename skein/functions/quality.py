@@ -1,4 +1,4 @@
-"""Density and quality metrics of documents, as column expressions over the whole text."""
+"""Density and quality metrics of documents, as column expressions over the whole text; ``own``: its words (``words_of``)."""
 
 from __future__ import annotations
 
@@ -36,10 +36,10 @@ def capped(c: Column, most: float = 1.0) -> Column:
     return F.least(F.lit(most), c)
 
 
-def quality_v1(source: Column, text: Column) -> Column:
+def quality_v1(source: Column, text: Column, own: Column) -> Column:
     n = F.length(text).cast("double")
     count_lines = F.regexp_count(text, F.lit("\n")) + 1
-    signal = capped(count_words(F.lower(text), V1_WORDS) / F.greatest(F.lit(1.0), n / 2000.0) * 0.04, 0.35)
+    signal = capped(count_words(text, own, V1_WORDS) / F.greatest(F.lit(1.0), n / 2000.0) * 0.04, 0.35)
     symbols = capped(F.regexp_count(text, F.lit(SYMBOLS_V1)) / F.greatest(F.lit(1.0), n / 3000.0) * 0.03, 0.20)
     spaces = capped(F.regexp_count(text, F.lit(" {8,}")) / count_lines.cast("double") * 0.02, 0.25)
     longest_line = F.array_max(F.transform(F.split(text, LINE_END), F.length))
@@ -47,8 +47,8 @@ def quality_v1(source: Column, text: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), capped(score)))
 
 
-def math_density(text: Column) -> Column:
-    return capped(count_words(F.lower(text), MATH_WORDS) / (chars(text) / 1500.0))
+def math_density(text: Column, own: Column) -> Column:
+    return capped(count_words(text, own, MATH_WORDS) / (chars(text) / 1500.0))
 
 
 def symbol_density(text: Column) -> Column:
@@ -83,8 +83,8 @@ def quality_v2(source: Column, family: Column, text: Column, math: Column, symbo
     return F.greatest(F.lit(0.0), capped(score))
 
 
-def term_density(text: Column, words: str) -> Column:
-    return capped(count_words(F.lower(text), words) / (chars(text) / 1500.0))
+def term_density(text: Column, own: Column, words: str) -> Column:
+    return capped(count_words(text, own, words) / (chars(text) / 1500.0))
 
 
 def structure_density(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,8 +17,12 @@ BLANK = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}
 WORDISH = r"[\p{L}\p{N}_]"
 
 
+#: The same as a string.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normalize(c: Column) -> Column:
@@ -90,12 +95,39 @@ def raw_extension(source_type: Column, url: Column) -> Column:
     return F.when(path.isin(".txt", ".html", ".htm", ".xml", ".pdf", ".json", ".md"), path).otherwise(by_type)
 
 
-def count_words(c: Column, alternatives: str, follow: str = "") -> Column:
-    """How often one of the alternatives stands as a whole word; ``follow``: further ones that end in a sign before a word."""
-    whole = rf"(?:{alternatives})(?!{WORDISH})"
-    if follow:
-        whole = rf"(?:{whole}|(?:{follow})(?={WORDISH}))"
-    return F.regexp_count(c, F.lit(rf"(?<!{WORDISH}){whole}"))
+def words_of(c: Column) -> Column:
+    """The words of a text in lower case. Make it a column of its own where several counts need it."""
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"{WORDISH}+"), F.lit(0))
+
+
+def spelled(alternative: str) -> list[str]:
+    """The spellings that an alternative with a character class stands for."""
+    m = re.search(r"\[([^\]]+)\](\?)", alternative)
+    if not m:
+        return [alternative]
+    return [s for c in [*m[1], *([""] if m[2] else [])] for s in spelled(alternative[: m.start()] + c + alternative[m.end() :])]
+
+
+def count_words(text: Column, words: Column, alternatives: str, follow: str = "") -> Column:
+    """How often one of the alternatives stands in ``text`` as whole words; ``words`` are its words.
+
+    Single words are looked up among the words; only texts that hold a phrase at all are searched for
+    phrases, and for the alternatives in ``follow``, which end in a sign before a word.
+    """
+    every = [s for a in alternatives.split("|") for s in spelled(a)]
+    single = [a for a in every if " " not in a]
+    # a phrase whose first word stands earlier in the list is never reached
+    phrases = [a for k, a in enumerate(every) if " " in a and a.split(" ")[0] not in every[:k]]
+    total = F.size(F.filter(words, lambda w: w.isin(single)))
+    low = F.lower(text)
+    for parts, before in ((phrases, rf"(?!{WORDISH})"), ([f for f in follow.split("|") if f], rf"(?={WORDISH})")):
+        if parts:
+            plain = [p.replace("\\", "") for p in parts]
+            held = F.lit(False)
+            for p in plain:
+                held = held | F.contains(low, F.lit(p))
+            total = total + F.when(held, F.regexp_count(low, F.lit(rf"(?<!{WORDISH})(?:{'|'.join(parts)}){before}"))).otherwise(0)
+    return total
 
 
 def clean_decoded(c: Column) -> Column:

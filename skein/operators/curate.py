@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from skein.functions import classify as C
 from skein.functions import quality as Q
-from skein.functions.text import duplicate_key, token_estimate
+from skein.functions.text import duplicate_key, token_estimate, words_of
 from skein.operators.ordered import first_of, running_sum
+from skein.session import materialize
 
 
 def with_buckets(docs: DataFrame, mixture: DataFrame) -> DataFrame:
@@ -20,16 +21,17 @@ def with_buckets(docs: DataFrame, mixture: DataFrame) -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, source, license, source_type, text (not null). Adds the features of a document; the text itself goes no further."""
+    """docs: doc_id, source, license, source_type, text. The features of the readable documents, written once: all later steps read these narrow rows."""
     text, source = F.col("text"), F.col("source")
-    out = docs.where("text is not null").withColumns(
+    docs = docs.where("text is not null").withColumn("own", words_of(text))
+    out = docs.withColumns(
         {
-            "family": C.math_family(source), "confidence": C.license_confidence(F.coalesce("license", F.lit(""))), "math_density": Q.math_density(text), "symbol_density": Q.symbol_density(text),
+            "family": C.math_family(source), "confidence": C.license_confidence(F.coalesce("license", F.lit(""))), "math_density": Q.math_density(text, F.col("own")), "symbol_density": Q.symbol_density(text),
             "extraction": Q.extraction_score(text), "repeated": Q.repetition(text), "dkey": duplicate_key(text), "n_tokens": token_estimate(text),
         }
     )
     score = Q.quality_v2(source, F.col("family"), text, F.col("math_density"), F.col("symbol_density"), F.col("extraction"), F.col("repeated"), F.col("confidence"))
-    return out.withColumn("quality", score).drop("text")
+    return materialize(out.withColumn("quality", score).drop("text", "own"), "features")
 
 
 def reasons_v2(featured: DataFrame, mixture: DataFrame, excluded: list[str]) -> DataFrame:

@@ -58,5 +58,5 @@ def execute(plan: Column, answer: Callable[[Column, Column, Column], Column] = e
         done = F.struct(F.concat(state["values"], F.array(value)).alias("values"), value.isNotNull().alias("ok"))
         return F.when(~state["ok"], state).otherwise(done)
 
-    end = F.aggregate(plan["steps"], start, step)
-    return F.when(plan.isNotNull(), F.struct(F.when(end["ok"], F.try_element_at(end["values"], F.lit(-1))).alias("answer"), end["ok"].alias("ok")))
+    finish = lambda end: F.struct(F.when(end["ok"], F.try_element_at(end["values"], F.lit(-1))).alias("answer"), end["ok"].alias("ok"))
+    return F.when(plan.isNotNull(), F.aggregate(plan["steps"], start, step, finish))

@@ -14,21 +14,24 @@ from skein.session import materialize
 
 def running_sum(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the rows of the group before this one, in ``order``, which must be total."""
-    keys = [f"__o{i}" for i in range(len(order))]
-    plain = [c for c in order]
     ranged = df.withColumn("__v", value)
-    ranged = ranged.repartitionByRange(*[F.col(g) for g in group], *plain).withColumn("__part", F.spark_partition_id())
+    ranged = ranged.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("__part", F.spark_partition_id())
     ranged = materialize(ranged, "running")
     totals = ranged.groupBy(*group, "__part").agg(F.sum("__v").alias("__t"))
     before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__before", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
-    inside = Window.partitionBy(*group, "__part").orderBy(*plain).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = ranged.join(totals, [*group, "__part"])
     out = out.withColumn(name, F.coalesce(F.sum("__v").over(inside), F.lit(0)) + F.col("__before"))
-    return out.drop("__v", "__part", "__before", *keys)
+    return out.drop("__v", "__part", "__before")
 
 
 def first_of(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``df`` with ``is_first``: whether the row is the first of its key.  The least row of each key is combined before the shuffle."""
+    """``df`` with ``is_first``: whether the row is the first of its key.
+
+    ``df`` is narrow; it is written once, as both sides of the join read it.  The least row of each key is
+    combined before the shuffle.
+    """
+    df = materialize(df, "keyed")
     least = df.groupBy(key).agg(F.min(F.struct(*order)).alias("__first"))
     return df.join(least, key).withColumn("is_first", F.struct(*order) == F.col("__first")).drop("__first")

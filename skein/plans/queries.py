@@ -46,6 +46,11 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "source", "source_type", "text").where("text is not null")
 
 
+def worded(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with their words, which are found once for all counts."""
+    return texts(spark, sf).withColumn("own", T.words_of(F.col("text")))
+
+
 @query
 def catalog_totals(spark, sf):
     return K.totals(K.upsert(table(spark, sf, "doc_catalog")))
@@ -173,8 +178,8 @@ def format_level(spark, sf):
 
 def topics(domain):
     def run(spark, sf):
-        counts = C.topic_counts(domain, F.col("text"))
-        counted = texts(spark, sf).select("doc_id", *[c.cast("bigint").alias(n) for n, c in counts.items()])
+        counts = C.topic_counts(domain, F.col("text"), F.col("own"))
+        counted = worded(spark, sf).select("doc_id", *[c.cast("bigint").alias(n) for n, c in counts.items()])
         return counted.select("*", C.topic_of(domain, {n: F.col(n) for n in counts}).alias("topic"))
 
     return run
@@ -197,19 +202,19 @@ def buckets(spark, sf):
 
 @query
 def quality_v1(spark, sf):
-    return texts(spark, sf).select("doc_id", Q.quality_v1(F.col("source"), F.col("text")).alias("score"))
+    return worded(spark, sf).select("doc_id", Q.quality_v1(F.col("source"), F.col("text"), F.col("own")).alias("score"))
 
 
 @query
 def gate_v1(spark, sf):
-    kept = texts(spark, sf).where(~F.col("source").isin(C.EXCLUDED_V1)).select("doc_id", "source", Q.quality_v1(F.col("source"), F.col("text")).alias("score"), T.token_estimate(F.col("text")).alias("n_tokens"))
+    kept = worded(spark, sf).where(~F.col("source").isin(C.EXCLUDED_V1)).select("doc_id", "source", Q.quality_v1(F.col("source"), F.col("text"), F.col("own")).alias("score"), T.token_estimate(F.col("text")).alias("n_tokens"))
     return kept.where("score >= 0.45").groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").cast("bigint").alias("n_tokens"))
 
 
 @query
 def densities(spark, sf):
     t = F.col("text")
-    return texts(spark, sf).select("doc_id", Q.math_density(t).alias("math_density"), Q.symbol_density(t).alias("symbol_density"), Q.extraction_score(t).alias("extraction"))
+    return worded(spark, sf).select("doc_id", Q.math_density(t, F.col("own")).alias("math_density"), Q.symbol_density(t).alias("symbol_density"), Q.extraction_score(t).alias("extraction"))
 
 
 @query
@@ -220,7 +225,8 @@ def repetition(spark, sf):
 @query
 def science_densities(spark, sf):
     t = F.col("text")
-    return texts(spark, sf).select("doc_id", Q.term_density(t, Q.PHYSICS_WORDS).alias("physics"), Q.term_density(t, Q.CHEMISTRY_WORDS).alias("chemistry"), Q.structure_density(t).alias("structure"), Q.code_extraction(t).alias("code_extraction"))
+    own = F.col("own")
+    return worded(spark, sf).select("doc_id", Q.term_density(t, own, Q.PHYSICS_WORDS).alias("physics"), Q.term_density(t, own, Q.CHEMISTRY_WORDS).alias("chemistry"), Q.structure_density(t).alias("structure"), Q.code_extraction(t).alias("code_extraction"))
 
 
 def featured(spark, sf):
@@ -293,8 +299,8 @@ def train_val_split(spark, sf):
 
 @query
 def curation_report(spark, sf):
-    counts = C.topic_counts("math", F.col("text"))
-    kinds = texts(spark, sf).select("doc_id", C.format_of(F.col("source"), F.col("source_type")).alias("format"), *[c.alias(n) for n, c in counts.items()])
+    counts = C.topic_counts("math", F.col("text"), F.col("own"))
+    kinds = worded(spark, sf).select("doc_id", C.format_of(F.col("source"), F.col("source_type")).alias("format"), *[c.alias(n) for n, c in counts.items()])
     kinds = kinds.select("doc_id", "format", C.topic_of("math", {n: F.col(n) for n in counts}).alias("topic"))
     return U.report(selected(spark, sf).select("doc_id", "bucket", "n_tokens").join(kinds, "doc_id"))
 
@@ -488,16 +494,21 @@ def word_problems(spark, sf):
     return n.select("o_orderkey", "p", "q", F.posexplode(forms).alias("k", "problem"))
 
 
+def planned(spark, sf):
+    """Distinct problems with their plans; explode keeps the plan from being computed again for each of its fields."""
+    return word_problems(spark, sf).select("problem").distinct().select("problem", F.explode(F.array(O.decompose(F.col("problem")))).alias("plan"))
+
+
 @query
 def decompose_plan(spark, sf):
-    out = word_problems(spark, sf).withColumn("plan", O.decompose(F.col("problem")))
-    return out.select("problem", F.col("plan.family").alias("family"), F.size("plan.steps").cast("bigint").alias("n_steps")).distinct().withColumn("n_steps", F.when(F.col("family").isNotNull(), F.col("n_steps")))
+    out = planned(spark, sf)
+    return out.select("problem", F.col("plan.family").alias("family"), F.size("plan.steps").cast("bigint").alias("n_steps")).withColumn("n_steps", F.when(F.col("family").isNotNull(), F.col("n_steps")))
 
 
 @query
 def execute_plan(spark, sf):
-    out = word_problems(spark, sf).withColumn("r", O.execute(O.decompose(F.col("problem"))))
-    return out.where("r.ok").select("problem", F.col("r.answer").alias("answer")).distinct()
+    out = planned(spark, sf).select("problem", F.explode(F.array(O.execute(F.col("plan")))).alias("r"))
+    return out.where("r.ok").select("problem", F.col("r.answer").alias("answer"))
 
 
 @query
