@@ -102,7 +102,7 @@ def words_of(c: Column) -> Column:
 
 def spelled(alternative: str) -> list[str]:
     """The spellings that an alternative with a character class stands for."""
-    m = re.search(r"\[([^\]]+)\](\?)", alternative)
+    m = re.search(r"\[([^\]]+)\](\??)", alternative)
     if not m:
         return [alternative]
     return [s for c in [*m[1], *([""] if m[2] else [])] for s in spelled(alternative[: m.start()] + c + alternative[m.end() :])]
