@@ -19,7 +19,7 @@ def lines_of(text):
 
 def test_scan_furniture():
     body = ["the lattice of every boundary is bounded by", "a smooth gradient and this measurable basis", "holds for all the values of every lattice by", "the boundary and a gradient of this basis is"]
-    text = "\n".join(["Proceedings of the Society", *body, "~ 21 ~", *body, "Proceedings of the Society", *body[:2], "~ 22 ~", *body, "is all.", "748", "", "The lattice is", "(5.16)"])
+    text = "\n".join(["Proceedings of the Society", *body, "~ 21 ~", *body, "Proceedings of the Society", *body[:2], "~ 22 ~", *body, "is all.", "748", "", "The lattice is bounded.", "(5.16)"])
     furniture, broken, misread = lines_of(text)
     assert furniture == {1, 6, 11, 14} and not broken and not misread
     assert lines_of("C H A P T E R     5 0 5\nthe lattice")[0] == {1}
