@@ -37,7 +37,7 @@ SPAN = 64
 BOUND = set(
     "dr prof mr mrs ms st fig figs eq eqs sec secs thm lem prop cor def ch chap p pp vol vols vs cf e.g i.e resp approx ed eds ref refs"
     " ca vgl abb nr s bzw bspw z z.b d d.h u.a m mme mlle mm éq env p.ex c.-à-d art núm pág págs sra sr srta p.ej ej ex"
-    " рис стр т т.е см гл г-н ср табл د डॉ श्री".split()
+    " рис стр т т.е см гл г-н ср табл проф акад доц им ул тов инж гр ср п.п د डॉ प्रो श्री पृ".split()
 )
 #: Abbreviations that may end one, if a capital or nothing follows (fixed values).
 LOOSE = set("etc usw a.m p.m т.д т.п д п др al jr inc ltd co b h a u min max hr hrs sec e".split())
@@ -63,12 +63,12 @@ WORD_BEFORE = re.compile(r"(\S+)\s+\S+$")
 THAI = re.compile(r"[ก-๛]")
 
 
-def closing(text: str, start: int, mark: int, stop: str, after: str, following: str) -> float:
-    """Evidence of the words before the mark at ``mark``; ``after`` is the character behind it, ``following`` the text there."""
+def closing(text: str, start: int, mark: int, stop: str, after: str, flat: bool) -> float:
+    """Evidence of the words before the mark at ``mark``; ``after`` is the character behind it; ``flat``: the text has letters of one case only."""
     if stop[0] in CASELESS_STOPS:
         return 4.0
     if stop[0] in "!?":
-        return 2.0
+        return -9.0 if flat and stop == "!" and text[mark - 1].isdigit() and after else 2.0
     if len(stop) > 1 or stop == "…":
         return -1.0
     line = text[max(start, mark - 40) : mark]
@@ -79,7 +79,7 @@ def closing(text: str, start: int, mark: int, stop: str, after: str, following:
     bare = token.replace("­", "")
     before = WORD_BEFORE.search(line)
     if bare in BOUND and not (bare in {"s", "m", "p", "d", "z", "g"} and not after):
-        if bare == "sec" and not after.isdigit() and after != "(":
+        if bare == "sec" and not after.isdigit() and after != "(" and not flat:
             return 1.5
         return -9.0
     if bare in COUNTED:
@@ -90,19 +90,21 @@ def closing(text: str, start: int, mark: int, stop: str, after: str, following:
             return -9.0
         if bare == "е" or (bare == "e" and last == "т."):
             return -9.0
+        if flat and bare in {"sec", "a.m", "p.m", "max", "min", "al"} and after:
+            return -9.0
         if bare in {"д", "п"} or len(bare) > 1:
             return 1.0
     if bare in {"ex", "ej"} or (bare == "е" and last == "т."):
         return -9.0
     if bare.isdigit() and last in BEFORE_ORDINAL and after.isalpha():
         return -9.0
-    if len(bare) == 1 and bare.isalpha() and found.group().lstrip(OPENERS).isupper():
+    if len(bare) == 1 and bare.isalpha() and found.group().lstrip(OPENERS).isupper() and not flat:
         return -4.0 if after.isalpha() and after.isupper() else 1.0
     return 2.5
 
 
-def opening(text: str, end: int, limit: int, quoted: bool, stop: str) -> float:
-    """Evidence of what stands behind the mark, from ``end`` on."""
+def opening(text: str, end: int, limit: int, quoted: bool, stop: str, flat: bool = False) -> float:
+    """Evidence of what stands behind the mark, from ``end`` on; in a ``flat`` text the case of letters says nothing."""
     i = end
     while i < limit and text[i].isspace():
         i += 1
@@ -117,13 +119,15 @@ def opening(text: str, end: int, limit: int, quoted: bool, stop: str) -> float:
         while j < limit and text[j].isspace():
             j += 1
         c = text[j] if j < limit else c
-        if c.islower():
+        if c.islower() or flat:
             return -9.0
         return -1.5 if quoted or text[i] == "-" else -0.5
     if c in OPENERS:
         while i + 1 < limit and (text[i] in OPENERS or text[i].isspace()):
             i += 1
-        return -2.0 if text[i].islower() else 2.0
+        return -2.0 if text[i].islower() and not flat else 2.0
+    if flat and (c.islower() or c.isupper()):
+        return -9.0 if stop[0] in "!?" and (quoted or text[end - 1] == ")") else 1.5
     if c.islower():
         return -9.0
     if c.isupper():
@@ -176,14 +180,15 @@ def sentence_ends(text: str) -> list[int]:
     """Position behind the last character of each sentence (that is, from 1, the position of that character)."""
     out: list[int] = []
     begin = 0
+    flat = text == text.lower() or text == text.upper()
     edges = [(m.start(), m.end()) for m in PARAGRAPH.finditer(text)] + [(len(text), len(text))]
     for stop, resume in edges:
-        out += paragraph_ends(text, begin, stop)
+        out += paragraph_ends(text, begin, stop, flat)
         begin = resume
     return out
 
 
-def paragraph_ends(text: str, begin: int, limit: int) -> list[int]:
+def paragraph_ends(text: str, begin: int, limit: int, flat: bool = False) -> list[int]:
     while limit > begin and text[limit - 1].isspace():
         limit -= 1
     while begin < limit and text[begin].isspace():
@@ -200,13 +205,13 @@ def paragraph_ends(text: str, begin: int, limit: int) -> list[int]:
             rest = text[end : end + 1]
             score = -9.0 if quoted and rest and not rest.isspace() else 4.0
             if quoted and rest.isspace():
-                score += opening(text, end, limit, True, m["wide"])
+                score += opening(text, end, limit, True, m["wide"], flat)
         else:
             end = m.end()
             quoted = bool((m["close"] or "").strip("   )]}") or m["close2"])
             behind = text[end : end + 24].lstrip()
             after = behind.lstrip(OPENERS)[:1] if behind[:1] != "(" else "("
-            score = closing(text, begin, m.start("stop"), m["stop"], after, behind) + opening(text, end, limit, quoted, m["stop"])
+            score = closing(text, begin, m.start("stop"), m["stop"], after, flat) + opening(text, end, limit, quoted, m["stop"], flat)
             if m["stop"].startswith("…") and not text[end : end + 1].isspace():
                 score = -9.0
         if end < limit:

@@ -143,7 +143,7 @@ def test_encoding_of_nothing_and_forgetting(spark, encoder, monkeypatch):
     [
         ["Dr. Roy and Prof. Lee met at 5 a.m. in town.", "They saw 3.5 cats, e.g. two, etc.", "Then it ended."], ["Does it hold?", "\"Is it so?\" asked Roy before it was done.", "\"It holds.\"", "(Only if 46 < b.)", "He shouted \"It ends!\" and left."],
         ["The value 5! is large.", "See Fig. 3 and Eq. (4) for A. V. Roy.", "The map ... or rather the net ... ends."], ["Im 66. Schritt ist es z. B. am 127. März so, usw.", "Ohne Zahlen geht es nicht.", "„Ist es so?“, fragte er.", "Er rief: „Es ist so!“"],
-        ["Quel beau jour !", "« Pourquoi le reste ? » demanda Roy.", "Voir fig. 5, p. ex. la limite.", "« C'est fini ! » cria-t-il."], ["¡Qué bien!", "¿Es único?", "—¿Es así? —dijo Ana.", "El Dr. Roy y la Sra. Lee vieron la pág. 5."], ["Предел, т. е. число, мал.", "«Да!» — сказал Иван.", "Так и т. д.", "См. рис. 5."],
+        ["Quel beau jour !", "« Pourquoi le reste ? » demanda Roy.", "Voir fig. 5, p. ex. la limite.", "« C'est fini ! » cria-t-il."], ["¡Qué bien!", "¿Es único?", "—¿Es así? —dijo Ana.", "El Dr. Roy y la Sra. Lee vieron la pág. 5."], ["dr. roy saw 3.5 cats at 5 a.m. in town, etc.", "the value 5! is large (it grows!) here.", "\"is it so?\" asked roy.", "im 66. schritt ist es so."], ["THE VALUE 5! IS LARGE.", "SEE FIG. 3 AND PROF. LEE."], ["Предел, т. е. число, мал.", "«Да!» — сказал Иван.", "Так и т. д.", "См. рис. 5.", "Проф. Иванов прав."],
     ],
 )
 def test_sentences(parts):
