@@ -4,7 +4,8 @@ A text is cut into leaf blocks: every line is cut at its tags, each tag is a blo
 block knows its ancestor tags.  A linear-chain conditional random field labels the blocks as plain
 text, html, markdown, wiki, latex, formula or code.  Its features are the block's own signs, its ancestor
 tags and which kinds of unmistakable signs the document holds at all, so that a sign of several kinds
-(``* item``, ``# item``, ``== a ==``, ``<ref>``) takes the kind of its neighbours and of the document.
+(``* item``, ``# item``, ``<ref>``) takes the kind of its neighbours and of the document; a block with such
+signs alone can only have a kind that the document has for certain, if there is one.
 The model is trained on pages labelled by construction (``training_pages``: PAGES pages from a seeded
 generator), by gradient ascent on the conditional likelihood, and decoded by Viterbi.
 
@@ -66,7 +67,7 @@ SIGNS: dict[str, tuple[str, int | None]] = {
     "wiki_template": (r"\{\{[^{}\n]*(?:\}\}|$)", WIKI),
     "wiki_quotes": (r"'{2,5}[^'\s](?:[^'\n]|'(?!'))*?'{2,5}", WIKI),
     "wiki_magic": (r"__(?:NO|TOC|FORCE)[A-Z]*__|^#REDIRECT", WIKI),
-    "wiki_table": (r"^\{\||^\|[-}]|^!\s*\S.*!!", WIKI),
+    "wiki_table": (r"^\{\||^\|-[^|]*$|^\|\}\s*$|^!\s*\S.*!!", WIKI),
     "wiki_row": (r"^\| ?\w+ *= *\S|^\}\}\s*$", None),
     "wiki_define": (r"^; *\S.* : ?\S", WIKI),
     "wiki_indent": (r"^[:;*#]{2,} *\S", None),
@@ -100,10 +101,11 @@ PLACE = {name: k for k, name in enumerate(FEATURES)}
 
 
 class Block:
-    __slots__ = ("text", "line", "ancestors", "tag", "features")
+    __slots__ = ("text", "line", "ancestors", "tag", "features", "barred")
 
     def __init__(self, text: str, line: int, ancestors: tuple[str, ...], tag: str):
         self.text, self.line, self.ancestors, self.tag, self.features = text, line, ancestors, tag, []
+        self.barred: list[int] = []  # kinds that the block can't have
 
 
 def blocks_of(text: str) -> list[Block]:
@@ -201,7 +203,10 @@ def describe(blocks: list[Block]) -> bool:
         b.features = names
     kinds = [KINDS[k - 1] for k in sure]
     shared = set(SHARED)
+    other = [k for k in range(1, 1 + len(KINDS)) if k not in sure] if sure else []
     for b in blocks:
+        if not b.tag and not any(n.startswith("sure_") for n in b.features):
+            b.barred = other  # signs of several kinds count for the kinds of the document's other signs
         names = b.features + [f"doc_{k}" if k in kinds else f"doc_no_{k}" for k in KINDS]
         names += [f"{s}&{k if k in kinds else 'no_' + k}" for s in b.features if s in shared for k in KINDS]
         b.features = [PLACE[n] for n in names]
@@ -216,6 +221,8 @@ class Chain:
 
     def decode(self, blocks: list[Block]) -> list[int]:
         scores = np.array([self.emit[b.features].sum(axis=0) for b in blocks])
+        for row, b in zip(scores, blocks):
+            row[b.barred] = -1e9
         best = scores[0]
         back = []
         for row in scores[1:]:
