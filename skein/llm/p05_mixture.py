@@ -143,9 +143,10 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = copies.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n_records"), F.sum((F.col("copies") > 0).cast("bigint")).alias("n_used"), F.max("copies").alias("most_copies"), F.sum(F.col("size") * F.col("copies")).alias("actual_size")
     )
-    whole = out.agg(F.sum("actual_size").alias("whole"))
-    out = targets.join(F.broadcast(out), "bucket", "left").crossJoin(F.broadcast(whole))
+    out = materialize(out, "p5-report")  # a row for each bucket of the targets
+    whole = out.agg(F.coalesce(F.sum("actual_size"), F.lit(0))).first()[0]
+    out = targets.join(F.broadcast(out), "bucket", "left")
     return out.select(
         "bucket", "target_fraction", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-        F.coalesce("actual_size", F.lit(0)).alias("actual_size"), (F.coalesce("actual_size", F.lit(0)) / F.col("whole")).alias("actual_share"),
+        F.coalesce("actual_size", F.lit(0)).alias("actual_size"), (F.coalesce("actual_size", F.lit(0)) / F.lit(float(max(1, whole)))).alias("actual_share"),
     )

@@ -108,3 +108,11 @@ def test_containers(spark):
         assert total == want
         assert all(len([x for x in mine if x["doc_id"] == d]) == max(1, -(-n // cap)) for d, n in list(want.items())[:100])
     assert P9.pack(sizes.limit(0), models).count() == 0
+
+
+def test_mixture_report(spark, tmp_path):
+    spark.createDataFrame([(f"d{i}", " Big " if i % 2 else "small", None, float("nan")) for i in range(400)], "doc_id string, mixture_bucket string, scored_at timestamp, quality_score double").write.parquet(f"{tmp_path}/document_features.parquet")
+    spark.createDataFrame([(f"d{i}", 10 if i % 5 else None, 40, "ok", 1) for i in range(400)], "doc_id string, token_estimate bigint, char_count bigint, status string, retrieved_at bigint").write.parquet(f"{tmp_path}/doc_catalog.parquet")
+    spark.createDataFrame([(1, "big", 0.75, 1), (2, "small", 0.25, 2), (3, "none", 0.1, 1)], "ord int, bucket string, target_fraction double, max_repeats int").write.parquet(f"{tmp_path}/mixture_spec.parquet")
+    out = {r["bucket"]: r for r in P5.p5_report(spark, str(tmp_path)).collect()}
+    assert abs(out["big"]["actual_share"] - 0.75) < 0.02 and abs(out["small"]["actual_share"] - 0.25) < 0.02 and out["none"]["actual_size"] == 0
