@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     if given:
         return given.rstrip("/")
     own = Path(tempfile.gettempdir()) / f"skein-{os.getpid()}"
-    own.mkdir(parents=True, exist_ok=True)
+    if not own.exists():
+        own.mkdir(parents=True)
+        atexit.register(shutil.rmtree, own, True)
     return own.as_uri()
 
 
