@@ -46,6 +46,7 @@ def test_repair(spark):
     text = "PROCEEDINGS OF THE SOCIETY\nthe lat-\ntice of every ba5is\nis bounded by the left-\nhand\n~ 3 ~\ngradient.\n\nthe ﬁrst"
     assert P4.repair_text(text, vocabulary) == "the lattice of every basis is bounded by the left-hand gradient.\n\nthe first"
     assert P4.repair_text("\n \n", vocabulary) == ""
+    assert P4.repair_text("the lat-\n\n~ 3 ~\n\ntice is", vocabulary) == "the lattice is"
     docs = spark.createDataFrame([("the the lattice lattice once",), (None,), ("",)], "text string")
     assert P4.vocabulary_of(docs) == {"the": 2, "lattice": 2}
 
