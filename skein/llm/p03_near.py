@@ -15,6 +15,11 @@ exactly.
   weighted Jaccard similarity.  Weights are rounded to powers of sqrt(2) (LEVELS of them), so that ln a is a lookup by
   the weight's level and 16 hashed bits.
 * Bands.  ROWS equal samples of a band make a candidate pair.
+* Prefixes.  Membership is decided by the share of common shingles, and the weighted similarity can fall
+  far below it: where a large group shares its shingles, these weigh little and the edits most.  So pairs
+  that share a shingle of their prefixes are candidates as well.  A prefix is the first n - ceil(0.6 n) + 1
+  of the n shingles, from rare to frequent; two documents that match have the first of their common
+  shingles in both prefixes, and behind it enough room for the others.  This path loses no pair.
 * Verification.  Each candidate pair is compared by its whole shingle sets: weighted Jaccard
   similarity (reported) and the share of common shingles, which decides.
 
@@ -129,6 +134,27 @@ def heavy_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return hashed[order], df[order], int(total)
 
 
+def frequency(hashed: np.ndarray, heavy: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """Document frequencies, 0 for shingles that are not heavy."""
+    known, df, _ = heavy
+    out = np.zeros(len(hashed), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
+        hit = known[at] == hashed
+        out[hit] = df[at[hit]]
+    return out
+
+
+def prefixes(owner: np.ndarray, hashed: np.ndarray, starts: np.ndarray, sizes: np.ndarray, heavy) -> pa.ListArray:
+    """Of each text the shingles one of which any match must share, in an order that is the same everywhere."""
+    up, down = THRESHOLD
+    order = np.lexsort((hashed, frequency(hashed, heavy), owner))
+    lengths = sizes - -(-up * sizes // down) + 1
+    first = np.arange(len(hashed)) - np.repeat(starts, sizes) < np.repeat(lengths, sizes)
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed[order][first].view(np.int64)))
+
+
 def weigh(hashed: np.ndarray, counts: np.ndarray, heavy: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
     """TF-IDF weights: (1 + ln tf) * ln(N / df)."""
     known, df, total = heavy
@@ -161,13 +187,14 @@ def signer(heavy):
                 bands = mix(bands + np.arange(BANDS, dtype=np.uint64))
                 # the class: sum and xor of the mixed shingles, with their number
                 one, two = mix(hashed), mix(hashed ^ STEP_BAND)
-                sizes = np.diff(np.append(starts, len(hashed))).astype(np.uint64)
-                key_a = np.add.reduceat(one, starts) + sizes
+                sizes = np.diff(np.append(starts, len(hashed)))
+                key_a = np.add.reduceat(one, starts) + sizes.astype(np.uint64)
                 key_b = np.bitwise_xor.reduceat(two, starts)
                 flat = pa.array(bands.ravel().view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs[owner[starts]]), pa.array(key_a.view(np.int64)), pa.array(key_b.view(np.int64)), lists], ["doc_id", "key_a", "key_b", "bands"]
+                    [pa.array(docs[owner[starts]]), pa.array(key_a.view(np.int64)), pa.array(key_b.view(np.int64)), lists, pa.array(sizes, pa.int32()), prefixes(owner, hashed, starts, sizes, heavy.value)],
+                    ["doc_id", "key_a", "key_b", "bands", "size", "prefix"],
                 )
 
     return run
@@ -234,7 +261,7 @@ def near_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     ship(spark)
     documents = documents.where("doc_id is not null and text is not null")
     heavy = spark.sparkContext.broadcast(heavy_shingles(documents))
-    signed = documents.mapInArrow(signer(heavy), "doc_id bigint, key_a bigint, key_b bigint, bands array<bigint>")
+    signed = documents.mapInArrow(signer(heavy), "doc_id bigint, key_a bigint, key_b bigint, bands array<bigint>, size int, prefix array<bigint>")
     signed = materialize(signed, "p3-signed")
     classes = signed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     members = signed.select("doc_id", "key_a", "key_b").join(classes, ["key_a", "key_b"]).select("doc_id", "rep", "n")
@@ -242,8 +269,14 @@ def near_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # a document delivered twice has its bands twice: the pairs are made distinct, as are those of several bands
     reps = members.where("doc_id = rep").select("doc_id").distinct()
-    bands = signed.select("doc_id", "bands").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("d"), F.explode("bands").alias("band"))
-    found = bands.alias("l").join(bands.alias("r"), F.col("l.band") == F.col("r.band")).where("l.d < r.d").select(F.col("l.d").alias("a"), F.col("r.d").alias("b")).distinct()
+    signs = signed.select("doc_id", "size", "bands", "prefix").join(reps, "doc_id", "left_semi")
+    bands = signs.select(F.col("doc_id").alias("d"), F.explode("bands").alias("band"))
+    banded = bands.alias("l").join(bands.alias("r"), F.col("l.band") == F.col("r.band")).where("l.d < r.d")
+    up, down = THRESHOLD
+    firsts = signs.select(F.col("doc_id").alias("d"), "size", F.posexplode("prefix").alias("at", "shingle"))
+    room = F.least(F.expr("l.size - l.at"), F.expr("r.size - r.at"))
+    shared = firsts.alias("l").join(firsts.alias("r"), F.col("l.shingle") == F.col("r.shingle")).where("l.d < r.d").where((up + down) * room >= up * (F.col("l.size") + F.col("r.size")))
+    found = banded.select(F.col("l.d").alias("a"), F.col("r.d").alias("b")).unionAll(shared.select(F.col("l.d").alias("a"), F.col("r.d").alias("b"))).distinct()
     pairs = materialize(found, "p3-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = documents.join(wanted, "doc_id", "left_semi").mapInArrow(shingle_sets(heavy), "doc_id bigint, sh array<bigint>, w array<float>")

@@ -51,6 +51,21 @@ def test_all_pairs_are_found(spark):
     assert len(got) >= 0.99 * len(want)
 
 
+def test_near_copies_of_a_third_of_all_rows(spark):
+    r = random.Random(11)
+    base = [f"base{i}" for i in range(100)]
+    texts = []
+    for i in range(300):
+        w = list(base) if i % 3 == 0 else [f"own{i}x{k}" for k in range(100)]
+        for k in range(3):
+            w[r.randrange(100)] = f"edit{i}x{k}"
+        texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if 5 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])}
+    got = found(*P3.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    assert got == want and len(want) > 4000
+
+
 def test_empty_and_hot_class(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     members, links = P3.near_classes(none)
