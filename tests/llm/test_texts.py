@@ -27,6 +27,33 @@ def test_scan_furniture():
     assert lines_of("the lattice of every\nxvii\nboundary is bounded")[0] == {2}
 
 
+def test_scan_header_in_a_long_scan():
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 9)))
+    lines = []
+    for i in range(250):
+        lines += [" ".join(["the", *(word() for _ in range(8))]), f"{word().title()} {word()} {word()}", ""]
+    for place, header in ((301, "Proceedings 7: of the Society"), (601, "Proceedlngs 7: of the Society")):
+        lines[place : place + 1] = ["the lattice of every boundary is bounded by a smooth gradient and", header, "the lattice goes on"]
+    text = "\n".join(lines)
+    headers = {i + 1 for i, line in enumerate(lines) if line.startswith("Proceed")}
+    assert len(headers) == 2 and headers <= lines_of(text)[0]
+
+
+def test_near_equal_keys_equal_brute_force():
+    r = random.Random(6)
+    keys = {"", "a", "ab", "abc", "abcd", "ab c"}
+    for _ in range(500):
+        k = r.choice(sorted(keys)) if r.random() < 0.5 else "".join(r.choice("aabcdef gh") for _ in range(r.choice([3, 6, 7, 10, 20, 40, 80])))
+        for _ in range(r.randint(0, 1 + len(k) // 6)):
+            at = r.randrange(len(k) + 1)
+            k = k[:at] + r.choice(["", r.choice("abcdef")]) + k[at + r.randint(0, 1) :]
+        keys.add(k)
+    keys = sorted(keys)
+    want = {k for k in keys if any(o != k and abs(len(o) - len(k)) <= 2 and P4.SequenceMatcher(None, o, k).ratio() > 0.85 for o in keys)}
+    assert P4.near_equal(keys) == want and 50 < len(want) < len(keys)
+
+
 def test_scan_words():
     assert lines_of("the lat‐\ntice is")[1] == {1}
     assert lines_of("the lat-\ntice is")[1] == {1}
