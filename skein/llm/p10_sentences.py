@@ -12,8 +12,9 @@ between two marks, jointly by
 * balance: a span that leaves a quotation or bracket open costs, as does one that closes what it didn't open;
 * length: spans of a single short word, and very long ones, cost a little.
 
-A span holds at most SPAN marks, which bounds the work on a paragraph of any length to a multiple of
-its marks; paragraphs are independent.
+A span may hold any number of marks.  Of the beginnings more than LONG characters back only those are
+kept that can still be best (``choose``), so that the work on long paragraphs stays small; paragraphs
+are independent.
 
 Defined cases: null, empty and blank texts have no sentence; a paragraph without marks is one sentence;
 positions count Unicode characters from 1; repeated rows give the same rows.
@@ -22,7 +23,7 @@ positions count Unicode characters from 1; repeated rows give the same rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from skein.llm.tables import table
 from skein.session import ship
 
-SPAN = 64
+#: Characters from which on the length of a span costs, and the cost of each.
+LONG, EACH = 400, 0.002
 
 #: Abbreviations that never end a sentence (fixed values).
 BOUND = set(
@@ -173,7 +175,7 @@ class Balance:
 
 
 def length(n: int) -> float:
-    return -1.0 if n < 3 else -0.002 * max(0, n - 400)
+    return -1.0 if n < 3 else -EACH * max(0, n - LONG)
 
 
 def sentence_ends(text: str) -> list[int]:
@@ -188,6 +190,41 @@ def sentence_ends(text: str) -> list[int]:
     return out
 
 
+def choose(begin: int, ends: list[int], scores: list[float], cost: Callable[[int, int], float] | None) -> list[int]:
+    """The ends of the best spans.
+
+    Beyond LONG characters the length costs in proportion, so a beginning i is worth best[i] + EACH * its
+    place, whatever the end.  As cost is a metric, one that is worth less than another by the cost
+    between the two is never better than it and is dropped.
+    """
+    n = len(ends)
+    best, back = [0.0] * n, [-1] * n
+    place = lambda i: begin if i < 0 else ends[i]
+    worth = lambda i: (best[i] if i >= 0 else 0.0) + EACH * place(i)
+    between = cost or (lambda i, j: 0.0)
+    near, far = -1, []  # the first beginning that isn't far, and those of the far ones that may be best
+    for j in range(n):
+        top, at, end = -1e18, -1, ends[j]
+        while near < j and end - place(near) > LONG:
+            if not any(worth(near) + between(i, near) < worth(i) for i in far):
+                far = [i for i in far if worth(i) + between(i, near) > worth(near)] + [near]
+            near += 1
+        for i in (*range(j - 1, near - 1, -1), *reversed(far)):
+            value = length(end - place(i)) + (best[i] if i >= 0 else 0.0)
+            if cost:
+                value -= cost(i, j)
+            if value > top:
+                top, at = value, i
+        best[j], back[j] = top + scores[j], at
+        if scores[j] >= 6.0:  # no span reaches over so sure an end
+            near, far = j, []
+    chosen, j = [], n - 1
+    while j >= 0:
+        chosen.append(ends[j])
+        j = back[j]
+    return chosen[::-1]
+
+
 def paragraph_ends(text: str, begin: int, limit: int, flat: bool = False) -> list[int]:
     while limit > begin and text[limit - 1].isspace():
         limit -= 1
@@ -221,27 +258,10 @@ def paragraph_ends(text: str, begin: int, limit: int, flat: bool = False) -> lis
         return [limit]
     ends.append(limit)
     scores.append(20.0)
-    n = len(ends)
-    best, back = [0.0] * n, [-1] * n
     balance = Balance(text, begin, ends)
-    cost = balance.cost if balance.rows or balance.quotes else None
-    for j in range(n):
-        top, at, end = -1e18, -1, ends[j]
-        for i in range(j - 1, max(-2, j - 1 - SPAN), -1):
-            value = length(end - (begin if i < 0 else ends[i])) + (best[i] if i >= 0 else 0.0)
-            if cost:
-                value -= cost(i, j)
-            if value > top:
-                top, at = value, i
-            if i >= 0 and scores[i] >= 6.0:  # no span reaches over so sure an end
-                break
-        best[j], back[j] = top + scores[j], at
-    chosen, j = [], n - 1
-    while j >= 0:
-        chosen.append(ends[j])
-        j = back[j]
+    chosen = choose(begin, ends, scores, balance.cost if balance.rows or balance.quotes else None)
     out = []
-    for end in reversed(chosen):
+    for end in chosen:
         while text[end - 1].isspace():
             end -= 1
         if not out or end > out[-1]:

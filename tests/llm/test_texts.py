@@ -183,6 +183,35 @@ def test_sentences(parts):
     assert P10.sentence_ends(text) == ends
 
 
+def test_sentence_with_many_inner_marks():
+    names = ", ".join(f"{'ABCDFJK'[i % 7]}. {'CDFJKLRT'[i % 8]}. Smith" for i in range(40))
+    for text in (f"The list of authors is {names} and others.", "See " + "Fig. 1, p. 2, z. B. " * 100 + "and so on."):
+        assert P10.sentence_ends(text + " Then it ended.") == [len(text), len(text) + 15]
+
+
+def test_spans_equal_brute_force():
+    r = random.Random(10)
+    for k in range(150):
+        n = r.randint(1, 150)
+        ends = sorted(r.sample(range(1, r.choice([400, 3000, 40000])), n))
+        scores = [r.choice([-9.0, -4.0, -2.0, -2.0, 0.5, 4.5, r.uniform(-3, 3), 6.5 if k % 3 == 0 else -1.0]) for _ in range(n - 1)] + [20.0]
+        at = [0]
+        for _ in range(n):
+            at.append(at[-1] + r.choice([0, 0, 0, 1, -1]))
+        cost = None if k % 4 == 0 else (lambda i, j: 1.5 * abs(at[j + 1] - at[i + 1]) + 2.0 * ((at[j + 1] - at[i + 1]) % 2))
+        best = {-1: 0.0}
+        for j in range(n):
+            least = max([i for i in range(j) if scores[i] >= 6.0], default=-1)
+            value = {i: P10.length(ends[j] - (ends[i] if i >= 0 else 0)) + best[i] - (cost(i, j) if cost else 0.0) for i in range(least, j)}
+            best[j] = max(value.values()) + scores[j]
+        total, last = 0.0, -1
+        for end in P10.choose(0, ends, scores, cost):
+            j = ends.index(end)
+            total += P10.length(end - (ends[last] if last >= 0 else 0)) - (cost(last, j) if cost else 0.0) + scores[j]
+            last = j
+        assert last == n - 1 and abs(total - best[n - 1]) < 1e-6
+
+
 @pytest.mark.parametrize("parts", [["经过3步，结束。", "他说：“好！”然后走了。", "多好啊！"], ["「はい。」と言った。", "終わりだ。"], ["ค่าคือ 2.5 ไม่ใช่ 3.5 เสมอ", " หลังจาก 3 ขั้นตอน"], ["यह सतत है।", " क्या यह सतत है?", " डॉ. राम ने कहा।"], ["هل هو كذلك؟", " قيمة المتجه هي 3.5 دائما."]])
 def test_sentences_of_other_scripts(parts):
     text, ends = "".join(parts), []
