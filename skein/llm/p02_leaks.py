@@ -2,7 +2,9 @@
 
 A document leaks an item if it holds ``PASSAGE`` (13) consecutive words of the item's prompt, or the
 whole prompt where that is shorter.  Words are runs of letters and digits after the removal of markup
-tags, entities, invisible characters, line-end hyphens and compatibility forms.
+tags, entities, invisible characters, line-end hyphens and compatibility forms.  As ``a<b ... c>d`` may be
+comparisons or a tag, documents are also read with only what has the syntax of a tag removed, and with
+nothing removed; prompts are read in these two ways.
 
 Size-partitioned MinHash containment search:
 
@@ -27,7 +29,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -47,30 +49,55 @@ BLOCK, LONGEST = 20_000, 500
 
 INVISIBLE = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff"))
 TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|<![A-Za-z][^<>]*>", re.S)
+#: Tags without attributes, or with such as have a value or need none.
+SURE_TAG = re.compile(
+    r"<!--.*?-->|</?[A-Za-z][A-Za-z0-9:-]*(?:\s+(?:[A-Za-z_:@][\w:.-]*\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>=]+)"
+    r"|(?:disabled|checked|selected|required|readonly|multiple|hidden|async|defer|open|controls|loop|muted|autofocus|autoplay|novalidate|reversed|nowrap|noshade|compact)(?=[\s/>])))*\s*/?>"
+    r"|<![A-Za-z][^<>]*>",
+    re.S | re.I,
+)
 BROKEN = re.compile(r"(?<=\w)[-\u2010\u2011\u00ad\u00ac][ \t\r\f]*\n\s*(?=\w)")
 WIKI_LINK = re.compile(r"\[\[[^\[\]|]*\|([^\[\]|]*)\]\]")
 MD_LINK = re.compile(r"\[([^\[\]]*)\]\([^()\s]*\)")
 LATEX_NAME = re.compile(r"\\[A-Za-z]+\*?")
 
 
-def readings(text: str) -> list[list[str]]:
-    """Word lists of a text: with line-end hyphens joined, and where they differ those with the hyphens kept and without link targets and command names."""
-    if "<" in text:
-        text = TAG.sub(" ", text)
+def without(tag: re.Pattern | None, text: str) -> str:
+    """The text without what ``tag`` matches, without entities and invisible characters."""
+    if tag and "<" in text:
+        text = tag.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-        if "<" in text:
-            text = TAG.sub(" ", text)
-    if not text.isascii():
-        text = text.translate(INVISIBLE)
-    joined = BROKEN.sub("", text)
-    joined = joined.replace("\u00ad", "") if not joined.isascii() else joined
-    forms = [joined]
-    if joined != text:
-        forms.append(text)
-    if "](" in joined or "[[" in joined or "\\" in joined:
-        forms.append(LATEX_NAME.sub(" ", MD_LINK.sub(r"\1", WIKI_LINK.sub(r"\1", joined))))
-    return [WORD.findall(folded_form(f)) for f in forms]
+        if tag and "<" in text:
+            text = tag.sub(" ", text)
+    return text if text.isascii() else text.translate(INVISIBLE)
+
+
+def joined(text: str) -> str:
+    """With line-end hyphens joined."""
+    text = BROKEN.sub("", text)
+    return text.replace("\u00ad", "") if not text.isascii() else text
+
+
+def split(forms: Iterable[str]) -> list[list[str]]:
+    return [WORD.findall(folded_form(f)) for f in dict.fromkeys(forms)]
+
+
+def readings(text: str) -> list[list[str]]:
+    """Word lists of a document, for every view of its tags: with line-end hyphens joined, and where they differ those with the hyphens kept and without link targets and command names."""
+    forms = []
+    for tag in (TAG, SURE_TAG, None) if "<" in text or "&" in text else (None,):
+        kept = without(tag, text)
+        whole_words = joined(kept)
+        forms += [whole_words, kept]
+        if "](" in whole_words or "[[" in whole_words or "\\" in whole_words:
+            forms.append(LATEX_NAME.sub(" ", MD_LINK.sub(r"\1", WIKI_LINK.sub(r"\1", whole_words))))
+    return split(forms)
+
+
+def prompt_readings(prompt: str) -> list[list[str]]:
+    """Word lists of an item: without what has the syntax of a tag, and with it."""
+    return split(joined(without(tag, prompt)) for tag in (SURE_TAG, None))
 
 
 def bound(n: int) -> int:
@@ -134,7 +161,7 @@ def containment(documents: DataFrame, items: DataFrame) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()
         known = []
         for r in rows:
-            for words in {tuple(w): w for w in readings(r["prompt"])[:1] if w}.values():
+            for words in {tuple(w): w for w in prompt_readings(r["prompt"]) if w}.values():
                 step = LONGEST - PASSAGE + 1
                 known += [(r["item_id"], words[i : i + LONGEST]) for i in range(0, max(1, len(words) - PASSAGE + 1), step)]
         if known:

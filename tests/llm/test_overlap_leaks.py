@@ -65,6 +65,20 @@ def test_leaks(spark):
     assert P2.containment(d, i.limit(0)).count() == 0 and P2.containment(d.limit(0), i).count() == 0
 
 
+def test_leaks_between_comparison_signs(spark):
+    plain = "the miller of Lorbury weighs nine sacks of barley and sells all but two of them at noon"
+    signs = "Show that if a<b and the number of red hens in the yard is odd then c>d holds for all of them"
+    items = [(1, plain), (2, signs), (3, "<p>Show <b class=x>how</b> many hens <input disabled> are left</p>")]
+    docs = {
+        1: f"As i<n here, {plain} -> so it ends", 2: f"if x<y\nthen {plain}\n> a quote", 3: f"<p>{signs}</p>", 4: signs.replace(" red ", " <i>red</i> "), 5: "Show that if a d holds for all of them",
+        6: signs.replace("<", "&lt;").replace(">", "&gt;"), 7: f'<a href="x"\n title=\'{plain}\'>none</a>', 8: "Show how many hens are left", 9: "<p>Show how <i>many</i> hens are left</p>", 10: "Show that if a < b and the number of red hens in the yard is even",
+    }
+    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, prompt string")
+    assert {tuple(r) for r in P2.containment(d, i).collect()} >= {(1, 1), (2, 1), (3, 2), (4, 2), (6, 2), (8, 3), (9, 3), (10, 2)}
+    assert not {(5, 2)} & {tuple(r) for r in P2.containment(d, i).collect()}
+
+
 def test_leaks_in_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(P2, "BLOCK", 2)
     items = spark.createDataFrame([(k, f"find the rest of {k} apples") for k in range(7)], "item_id bigint, prompt string")
