@@ -12,6 +12,9 @@ generator), by gradient ascent on the conditional likelihood, and decoded by Vit
 A document has the kinds of the labels of its blocks.  ``clean`` removes the markup and keeps headings
 (``# ``), list items (``- ``), code and formulas.
 
+A script, style or pre tag, a code fence, a verbatim environment and a comment hold what follows only if
+their end follows too; without it they are a lone tag or line, and the rest of the text is read as any.
+
 Defined cases: null, empty and blank texts have no kind and stay as they are; texts without any sign are
 plain; repeated rows count once in kinds and give repeated rows in clean.
 """
@@ -37,9 +40,11 @@ TEXT, HTML, MARKDOWN, WIKI, LATEX, FORMULA, CODE = range(len(LABELS))
 #: Labelled pages that the model is trained on.
 PAGES = 800
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|</?[A-Za-z][A-Za-z0-9]*(?:\s+[^<>\n]*|/)?/?>|<![A-Za-z][^<>\n]*>", re.S)
+TAG = re.compile(r"<!--(?:.*?-->)?|</?[A-Za-z][A-Za-z0-9]*(?:\s+[^<>\n]*|/)?/?>|<![A-Za-z][^<>\n]*>", re.S)
 TAG_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)")
 WIKI_TAGS = {"ref", "math", "nowiki", "gallery", "references", "blockcode", "syntaxhighlight"}
+#: Tags that change what their content means.
+HOLDING = {"script", "style", "pre"}
 VOID = {"br", "hr", "img", "meta", "link", "input", "wbr", "p", "li", "dt", "dd", "td", "tr", "th", "font"}
 COMMANDS = (
     "documentclass|usepackage|title|author|date|maketitle|chapter|(?:sub)*section|(?:sub)?paragraph|part|item|textbf|textit|texttt|textsc|textsf|underline|emph|em|it|bf|sc|tt|rm|sl"
@@ -108,6 +113,24 @@ class Block:
         self.barred: list[int] = []  # kinds that the block can't have
 
 
+def holding(text: str, tags: list[re.Match]) -> set[int]:
+    """Where script, style and pre tags begin whose end is the next tag of their name; tags in Markdown code count as text."""
+    out: set[int] = set()
+    ended: dict[str, bool] = {}
+    for m in reversed(tags):
+        found = TAG_NAME.match(m.group())
+        name = found.group(1).lower() if found else "!"
+        if name not in HOLDING:
+            continue
+        line = text.rfind("\n", 0, m.start()) + 1
+        if text.count("`", line, m.start()) % 2 and text.find("`", m.end(), text.find("\n", m.end()) % (len(text) + 1)) >= 0:
+            continue
+        if m.group()[1] != "/" and ended.get(name):
+            out.add(m.start())
+        ended[name] = m.group()[1] == "/"
+    return out
+
+
 def blocks_of(text: str) -> list[Block]:
     """Leaf blocks in order."""
     out: list[Block] = []
@@ -122,7 +145,9 @@ def blocks_of(text: str) -> list[Block]:
             if piece.strip():
                 out.append(Block(piece, line, tuple(stack), ""))
 
-    for m in TAG.finditer(text) if "<" in text else ():
+    found_tags = list(TAG.finditer(text)) if "<" in text else []
+    held = holding(text, found_tags)
+    for m in found_tags:
         plain(text[at : m.start()])
         at = m.end()
         found = TAG_NAME.match(m.group())
@@ -131,7 +156,8 @@ def blocks_of(text: str) -> list[Block]:
         line += m.group().count("\n")
         if found and name not in VOID and not m.group().endswith("/>"):
             if m.group()[1] != "/":
-                stack.append(name)
+                if name not in HOLDING or m.start() in held:
+                    stack.append(name)
             elif name in stack:
                 del stack[len(stack) - 1 - stack[::-1].index(name) :]
     plain(text[at:])
@@ -145,7 +171,9 @@ def describe(blocks: list[Block]) -> bool:
     template = environment = 0
     signs = False
     last_line = -1
-    for b in blocks:
+    last_fence = max((k for k, b in enumerate(blocks) if not b.tag and (not k or b.line != blocks[k - 1].line) and PATTERNS["md_fence"].search(b.text)), default=-1)
+    last_verbatim = max((k for k, b in enumerate(blocks) if "\\end{verbatim" in b.text or "\\end{lstlisting" in b.text), default=-1)
+    for place, b in enumerate(blocks):
         names = ["bias"]
         if b.line != last_line:
             names.append("first")
@@ -176,7 +204,7 @@ def describe(blocks: list[Block]) -> bool:
                         signs = True
             names += [f"sure_{KINDS[k - 1]}" for k in own]
             if "md_fence" in names:
-                fence = not fence
+                fence = not fence and place < last_fence
             elif fence:
                 names.append("in_fence")
             if template > 0:
@@ -184,7 +212,7 @@ def describe(blocks: list[Block]) -> bool:
             template = max(0, template + b.text.count("{{") - b.text.count("}}"))
             if "\\begin{" in b.text and "latex_environment" in names:
                 environment += 1
-                verbatim = verbatim or "verbatim" in b.text or "lstlisting" in b.text
+                verbatim = verbatim or (place <= last_verbatim and ("verbatim" in b.text or "lstlisting" in b.text))
             if verbatim:
                 names.append("in_verbatim")
             if "\\end{" in b.text and "latex_environment" in names:

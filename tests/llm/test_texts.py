@@ -119,6 +119,21 @@ def test_markup_clean(chain, spark):
     assert len(kinds("word <b>x</b> " * 3000, chain)) == 1
 
 
+@pytest.mark.parametrize("opener", ["Use the `<script>` tag.", "Use the <style> tag.", "A lone <pre> stands here.", "```", "A lone <!-- stands here.", "Use `<script>` first.\n\nThe end is `</script>` then.", "Use <script> first.\n\n<script>x = 1</script>"])
+def test_markup_behind_an_unclosed_opener(chain, opener):
+    rest = "## A title\n\nSome **bold** words, [here](https://a.example/p).\n\n- one\n- two"
+    text = f"{opener}\n\n{rest}"
+    assert "markdown" in kinds(text, chain)
+    cleaned = P6.strip_markup(text, P6.label(text, chain))
+    assert cleaned.endswith("# A title\n\nSome bold words, here.\n\n- one\n- two")
+    assert "The end is" not in opener or "The end is" in cleaned
+
+
+def test_markup_of_closed_openers(chain):
+    clean = lambda t: P6.strip_markup(t, P6.label(t, chain))
+    assert clean("<p>One</p>\n<script>\nx = 1;\n</script>\n<!-- no\nno -->\n<p>Two</p>") == "One\n\nTwo"
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return P8.Encoder("byte_bpe_50k")
