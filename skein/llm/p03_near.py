@@ -1,26 +1,33 @@
 """Problem 3: groups of documents that are equal up to small edits.
 
 Documents are sets of three consecutive words (runs of letters and digits, in any case).  Candidates
-come from improved consistent weighted sampling (ICWS) over TF-IDF weights, banded, and are verified
-exactly.
-
-* IDF.  A shingle of df documents weighs ln(N / df), at most ln(1 / THETA).  Only shingles with
-  df >= THETA * N weigh less than that maximum, and there are at most mean(shingles a document) / THETA
-  of them, at every size of the corpus; they are the only broadcast.  A shingle can reach THETA * N only
-  if it reaches THETA * n in one of the parts the corpus is counted in (Savasere's partition rule), so
-  every part sends only such shingles, with their counts.
+come from improved consistent weighted sampling (ICWS) over TF-IDF weights, banded, and from a prefix
+filter that loses nothing; they are verified exactly.
+
+* Frequencies.  All shingles of all documents are counted in SLOTS counters by 24 bits of their hash.  A counter
+  is never below the document frequency df, and above it by mean(shingles a document) / SLOTS of all
+  documents on average, about a hundred-thousandth, at every size of the corpus.  The counters, rounded to one
+  byte each, are the only broadcast, of fixed size.
+* IDF.  A shingle of df documents weighs ln(N / df), at most ln(1 / THETA).
 * ICWS.  Each of BANDS * ROWS samples of a document draws, per shingle, r and c from Gamma(2, 1) and
   beta from U(0, 1), sets t = floor(ln w / r + beta), y = exp(r (t - beta)) and a = c / (y exp(r)), and
   keeps the shingle with the least a.  Two documents get the same sample with the probability of their
   weighted Jaccard similarity.  Weights are rounded to powers of sqrt(2) (LEVELS of them), so that ln a is a lookup by
   the weight's level and 16 hashed bits.
-* Bands.  ROWS equal samples of a band make a candidate pair.
+* Bands.  ROWS equal samples of a band make a candidate pair.  A document is paired with the NEIGHBOURS next
+  ones of its band only: what a crowded band leaves out, the prefixes find.
 * Prefixes.  Membership is decided by the share of common shingles, and the weighted similarity can fall
   far below it: where a large group shares its shingles, these weigh little and the edits most.  So pairs
   that share a shingle of their prefixes are candidates as well.  A prefix is the first n - ceil(0.6 n) + 1
-  of the n shingles, from rare to frequent; two documents that match have the first of their common
-  shingles in both prefixes, and behind it enough room for the others.  This path loses no pair.
-* Verification.  Each candidate pair is compared by its whole shingle sets: weighted Jaccard
+  of the n shingles, from rare to frequent by their counters; two documents that match have the first of their
+  common shingles in both prefixes, and behind it enough room for the others.  Any order that is the same
+  everywhere loses no pair.  Shingles whose counter is 1 stand in one document only and need no partner.
+* Hot shingles.  The holders of a shingle with a counter over HOT are dealt to blocks of about HOT, and every
+  pair of blocks meets on its own, so no task gets more than two blocks.
+* Parities.  Each document has a bitmap of 4 to 8 bits a shingle, in which every shingle flips a bit.  The bits in which
+  two documents differ are no more than the shingles in which they differ, so candidates with too many are
+  dropped before any set is moved.
+* Verification.  Each remaining pair is compared by its whole shingle sets: weighted Jaccard
   similarity (reported) and the share of common shingles, which decides.
 
 Equal shingle sets form one class before any pairing; pairs are made between class representatives
@@ -32,21 +39,31 @@ rows of a document count once; a class of equal texts is a group even without fu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.tables import table
 from skein.llm.textwork import U, WordIds, Words, mix, plain_words, shingles, whole
-from skein.session import materialize, ship
+from skein.session import materialize, release, ship
 
 WIDTH = 3
 LEAST_WORDS = 20
 THETA = 1 / 1000
-BANDS, ROWS = 24, 3
+BANDS, ROWS = 16, 3
+#: Documents of a band that one is paired with.
+NEIGHBOURS = 32
+#: Counters of shingles, in blocks that are summed one by one; 24 bits of a hash choose one.
+SLOT_BITS = 24
+SLOTS, BLOCK = 1 << SLOT_BITS, 1 << 16
+#: Holders of a shingle that meet in one task.
+HOT = 20_000
+#: Bits of the filter of wanted documents.
+WANTED_BITS = 24
 #: Weights are rounded to powers of sqrt(2): level L stands for 2 ** (L / 2).
 LEVELS = 12
 LOWEST = -2
@@ -96,74 +113,93 @@ def pieces(batch: pa.RecordBatch, size: int = 1024) -> Iterator[tuple[np.ndarray
         yield docs[at : at + size], texts.slice(at, size).to_pylist()
 
 
-#: Documents of a part in which shingles are counted.
-PART = 4096
+def slots_of(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> U(64 - SLOT_BITS)).astype(np.int64)
 
 
-def count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """shingle, df: of every part the shingles in at least THETA of its documents; shingle null: the part's documents."""
-    ids, held, docs = WordIds(), [], 0
-
-    def flush() -> pa.RecordBatch:
-        hashed, df = np.unique(np.concatenate(held), return_counts=True)
-        often = df >= max(1, THETA * docs)
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(hashed[often].view(np.int64)), pa.nulls(1, pa.int64())]), pa.array(np.append(df[often], docs).astype(np.int64))], ["shingle", "df"]
-        )
-
+def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, counts: how many shingles of documents fell into each counter; block -1: the number of documents."""
+    ids, docs = WordIds(), 0
+    counters = np.zeros(SLOTS, np.int32)
     for batch in batches:
         for part, texts in pieces(batch):
             _, hashed, _ = distinct(texts, ids)
-            held.append(hashed)
+            np.add.at(counters, slots_of(hashed), 1)
             docs += len(part)
-            if docs >= PART:
-                yield flush()
-                held, docs = [], 0
-    if docs:
-        yield flush()
-
-
-def heavy_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles with df >= THETA * N as sorted hashes, their document frequencies, and N."""
-    counts = documents.mapInArrow(count_parts, "shingle bigint, df bigint").groupBy("shingle").agg(F.sum("df").alias("df"))
-    counts = materialize(counts, "p3-df")
-    total = counts.where("shingle is null").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    heavy = counts.where(F.col("shingle").isNotNull() & (F.col("df") >= THETA * total)).toArrow()
-    hashed, df = heavy["shingle"].to_numpy().view(np.uint64), heavy["df"].to_numpy()
-    order = np.argsort(hashed)
-    return hashed[order], df[order], int(total)
-
-
-def frequency(hashed: np.ndarray, heavy: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
-    """Document frequencies, 0 for shingles that are not heavy."""
-    known, df, _ = heavy
-    out = np.zeros(len(hashed), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
-        hit = known[at] == hashed
-        out[hit] = df[at[hit]]
-    return out
+    blocks, packed = [-1], [zlib.compress(np.array([docs], np.int64).tobytes())]
+    for k in range(SLOTS // BLOCK):
+        block = counters[k * BLOCK : (k + 1) * BLOCK]
+        if block.any():
+            blocks.append(k)
+            packed.append(zlib.compress(block.astype(np.int64).tobytes(), 1))
+    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
+
+
+def sum_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each block; a task holds one array per block it got, however many parts there are."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            more = np.frombuffer(zlib.decompress(counts), np.int64)
+            held[block] = held[block] + more if block in held else more
+    for block, counts in held.items():
+        data = counts.tobytes() if block < 0 else zlib.compress(rounded(counts).tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], ["block", "counts"])
+
+
+def rounded(counts: np.ndarray) -> np.ndarray:
+    """One byte for a count: exact below 16, in eighths of a power of two from there on."""
+    high = 16 + np.floor(8 * np.log2(np.maximum(counts, 16) / 16))
+    return np.where(counts < 16, counts, np.minimum(high, 255)).astype(np.uint8)
+
+
+#: The counts that the bytes stand for.
+MEANT = np.where(np.arange(256) < 16, np.arange(256), 16 * 2 ** ((np.arange(256) - 15.5) / 8))
+
 
+def frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
+    """The rounded counters of all shingles, and the number of documents."""
+    parts = documents.mapInArrow(count_slots, "block int, counts binary")
+    sums = parts.repartition("block").mapInArrow(sum_slots, "block int, counts binary").toArrow()
+    counters, total = np.zeros(SLOTS, np.uint8), 0
+    for block, counts in zip(sums["block"].to_pylist(), sums["counts"].to_pylist()):
+        if block < 0:
+            total = int(np.frombuffer(counts, np.int64)[0])
+        else:
+            counters[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zlib.decompress(counts), np.uint8)
+    return counters, total
 
-def prefixes(owner: np.ndarray, hashed: np.ndarray, starts: np.ndarray, sizes: np.ndarray, heavy) -> pa.ListArray:
-    """Of each text the shingles one of which any match must share, in an order that is the same everywhere."""
+
+def prefixes(owner: np.ndarray, hashed: np.ndarray, often: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Of each text the shingles one of which any match must share, from rare to frequent, without those that no other text can hold; and how many these are."""
     up, down = THRESHOLD
-    order = np.lexsort((hashed, frequency(hashed, heavy), owner))
+    order = np.lexsort((hashed, owner.astype(np.uint64) << U(8) | often))
     lengths = sizes - -(-up * sizes // down) + 1
     first = np.arange(len(hashed)) - np.repeat(starts, sizes) < np.repeat(lengths, sizes)
-    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed[order][first].view(np.int64)))
+    lonely = first & (often[order] <= 1)
+    skipped = np.add.reduceat(lonely.astype(np.int64), starts)
+    offsets = np.append(0, np.cumsum(lengths - skipped)).astype(np.int32)
+    return skipped, pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed[order][first & ~lonely].view(np.int64)))
+
+
+def parities(owner: np.ndarray, hashed: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A bitmap of each text with 4 to 8 bits a shingle, of which every shingle flips one."""
+    bits = np.maximum(64, 2 ** np.ceil(np.log2(4 * sizes)).astype(np.int64))
+    at = np.cumsum(bits) - bits
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    odd = np.bincount(at[row] + (hashed & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a : a + n] for a, n in zip((at // 8).tolist(), (bits // 8).tolist())]
 
 
-def weigh(hashed: np.ndarray, counts: np.ndarray, heavy: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+def weigh(hashed: np.ndarray, counts: np.ndarray, heavy: tuple[np.ndarray, int]) -> np.ndarray:
     """TF-IDF weights: (1 + ln tf) * ln(N / df)."""
-    known, df, total = heavy
-    idf = np.full(len(hashed), -np.log(THETA))
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
-        hit = known[at] == hashed
-        idf[hit] = np.log(np.maximum(total, 2) / df[at[hit]])
-    return (1 + np.log(counts)) * np.maximum(idf, 0.05)
+    counters, total = heavy
+    idf = np.log(np.maximum(total, 2) / np.maximum(1, MEANT[counters[slots_of(hashed)]]))
+    return (1 + np.log(counts)) * np.clip(idf, 0.05, -np.log(THETA))
+
+
+SIGNED = ["doc_id", "key_a", "key_b", "bands", "size", "skipped", "prefix", "bits"]
 
 
 def signer(heavy):
@@ -192,9 +228,10 @@ def signer(heavy):
                 key_b = np.bitwise_xor.reduceat(two, starts)
                 flat = pa.array(bands.ravel().view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), flat)
+                skipped, prefix = prefixes(owner, hashed, heavy.value[0][slots_of(hashed)], starts, sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs[owner[starts]]), pa.array(key_a.view(np.int64)), pa.array(key_b.view(np.int64)), lists, pa.array(sizes, pa.int32()), prefixes(owner, hashed, starts, sizes, heavy.value)],
-                    ["doc_id", "key_a", "key_b", "bands", "size", "prefix"],
+                    [pa.array(docs[owner[starts]]), pa.array(key_a.view(np.int64)), pa.array(key_b.view(np.int64)), lists, pa.array(sizes, pa.int32()), pa.array(skipped, pa.int32()), prefix, pa.array(parities(owner, hashed, sizes), pa.binary())],
+                    SIGNED,
                 )
 
     return run
@@ -203,12 +240,134 @@ def signer(heavy):
 STEP_BAND = U(0xA0761D6478BD642F)
 
 
-def shingle_sets(heavy):
-    """doc_id, sh (hashes), w (weights) of whole texts."""
+def postings(heavy, hot: int):
+    """key, d, size, at: the bands of each document (size -1) and its prefix; hot shingles once for each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                yield of(batch.slice(start, 2048))
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, size, skipped = (batch.column(k).to_numpy() for k in ("d", "size", "skipped"))
+        band = batch.column("bands").flatten().to_numpy()
+        lists = batch.column("prefix")
+        token, many = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(doc)), many)
+        at = np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many) + skipped[row]
+        holders = MEANT[heavy.value[0][slots_of(token.view(np.uint64))]]
+        cold = holders <= hot
+        keys, owners, places = [token[cold]], [row[cold]], [at[cold]]
+        for k in np.flatnonzero(~cold).tolist():
+            blocks = int(-(-holders[k] // hot))
+            own = int(mix(np.array([doc[row[k]]]).astype(np.uint64))[0]) % blocks
+            other = np.arange(blocks, dtype=np.uint64)
+            low, high = np.minimum(other, U(own)), np.maximum(other, U(own))
+            keys.append(mix(token[k : k + 1].view(np.uint64) + mix(low * U(blocks) + high + U(1))).view(np.int64))
+            owners.append(np.full(blocks, row[k]))
+            places.append(np.full(blocks, at[k]))
+        owner = np.concatenate(owners)
+        none = np.full(len(band), -1, np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([band, *keys])),
+                pa.array(np.concatenate([np.repeat(doc, BANDS), doc[owner]])),
+                pa.array(np.concatenate([none, size[owner]]).astype(np.int32)),
+                pa.array(np.concatenate([none, *places]).astype(np.int32)),
+            ],
+            ["key", "d", "size", "at"],
+        )
+
+    return run
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, d, size, at in order of key and size -> a, b: the pairs of each key that can match by length and position."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    fresh = 0  # the held rows before this place have met each other
+    for batch in batches:
+        rows = [np.concatenate([h, batch.column(k).to_numpy().astype(np.int64)]) for k, h in enumerate(held)]
+        key, _, size, _ = rows
+        if not len(key):
+            continue
+        yield from meet(rows, fresh)
+        # rows of the last key wait for more of it: of a band the neighbours, of a shingle all
+        last = int(np.searchsorted(key, key[-1]))
+        if size[-1] < 0:
+            last = max(last, len(key) - NEIGHBOURS)
+        held = [r[last:] for r in rows]
+        fresh = len(held[0])
+
+
+def meet(rows: list[np.ndarray], fresh: int) -> Iterator[pa.RecordBatch]:
+    up, down = THRESHOLD
+    key, d, size, at = rows
+    n = len(key)
+    place = np.arange(n)
+    new = np.append(True, (key[1:] != key[:-1]) | ((size[1:] < 0) != (size[:-1] < 0)))
+    run = np.cumsum(new) - 1
+    ends = np.append(np.flatnonzero(new)[1:], n)[run]
+    # in order of size the partners behind a row are those up to the longest that its room and length allow
+    longest = np.minimum(down * size // up, (up + down) * (size - at) // up - size)
+    until = np.searchsorted((run << 32) + np.maximum(size, 0), (run << 32) + np.maximum(longest, 0), side="right")
+    until = np.where(size < 0, np.minimum(ends, place + 1 + NEIGHBOURS), np.minimum(until, ends))
+    since = np.maximum(place + 1, fresh)
+    many = np.maximum(0, until - since)
+    done = np.append(0, np.cumsum(many))
+    begin = 0
+    while begin < n:
+        end = max(begin + 1, int(np.searchsorted(done, done[begin] + (1 << 20), side="right")) - 1)
+        left = np.repeat(place[begin:end], many[begin:end])
+        right = np.arange(len(left)) - np.repeat(done[begin:end] - done[begin], many[begin:end]) + since[left]
+        fits = (size[left] < 0) | ((up + down) * (size[right] - at[right]) >= up * (size[left] + size[right]))
+        left, right = d[left[fits]], d[right[fits]]
+        other = left != right
+        left, right = left[other], right[other]
+        if len(left):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
+        begin = end
+
+
+def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, m, x, n, y (sizes and parities) -> the pairs whose parities differ in no more bits than a match allows."""
+    up, down = THRESHOLD
+    for batch in batches:
+        keep = []
+        for i, (m, x, n, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)))):
+            if len(x) < len(y):
+                x, y = y, x
+            one, two, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
+            while bits > 8 * len(y):  # the longer one in halves
+                bits //= 2
+                one = (one >> bits) ^ (one & ((1 << bits) - 1))
+            if (up + down) * (one ^ two).bit_count() <= (down - up) * (m + n):
+                keep.append(i)
+        if keep:
+            rows = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
+
+
+def wanted_slot() -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit("p3"), "doc_id"), 64 - WANTED_BITS)
+
+
+def wanted_filter(wanted: DataFrame) -> np.ndarray:
+    """Which slots hold a wanted doc_id: a bitmap of fixed size, put together from parts of 32,768 bits."""
+    slot = wanted.select(wanted_slot().alias("slot"))
+    parts = slot.groupBy(F.expr("slot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits")).toArrow()
+    out = np.zeros(1 << WANTED_BITS, bool)
+    for part, bits in zip(parts["part"].to_pylist(), parts["bits"].to_pylist()):
+        out[part * 32768 : (part + 1) * 32768] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")[:32768]
+    return out
+
+
+def shingle_sets(heavy, wanted):
+    """doc_id, text, slot -> doc_id, sh (hashes), w (weights) of the whole texts in wanted slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.value[batch.column(2).to_numpy()]))
             for docs, texts in pieces(batch, 256):
                 owner, hashed, counts = distinct(texts, ids)
                 if not len(hashed):
@@ -251,39 +410,38 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows), pa.array(shares), pa.array(weighted)], ["a", "b", "share", "weighted"])
 
 
-def near_classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_classes(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """documents: doc_id BIGINT, text STRING.
 
-    Returns members (doc_id, rep: least doc_id with the same shingle set) and links (a, b: representatives
+    Returns members (doc_id, rep: least doc_id with the same shingle set, n: the class's size) and links (a, b: representatives
     with a < b, share, weighted) of all classes that match.
     """
     spark = documents.sparkSession
     ship(spark)
-    documents = documents.where("doc_id is not null and text is not null")
-    heavy = spark.sparkContext.broadcast(heavy_shingles(documents))
-    signed = documents.mapInArrow(signer(heavy), "doc_id bigint, key_a bigint, key_b bigint, bands array<bigint>, size int, prefix array<bigint>")
+    documents = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    heavy = spark.sparkContext.broadcast(frequencies(documents))
+    signed = documents.mapInArrow(signer(heavy), "doc_id bigint, key_a bigint, key_b bigint, bands array<bigint>, size int, skipped int, prefix array<bigint>, bits binary")
     signed = materialize(signed, "p3-signed")
-    classes = signed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    members = signed.select("doc_id", "key_a", "key_b").join(classes, ["key_a", "key_b"]).select("doc_id", "rep", "n")
-    members = materialize(members, "p3-members")
+    keys = signed.select("doc_id", "key_a", "key_b").distinct()
+    classes = keys.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    members = materialize(keys.join(classes, ["key_a", "key_b"]).select("doc_id", "rep", "n"), "p3-members")
 
-    # a document delivered twice has its bands twice: the pairs are made distinct, as are those of several bands
     reps = members.where("doc_id = rep").select("doc_id").distinct()
-    signs = signed.select("doc_id", "size", "bands", "prefix").join(reps, "doc_id", "left_semi")
-    bands = signs.select(F.col("doc_id").alias("d"), F.explode("bands").alias("band"))
-    banded = bands.alias("l").join(bands.alias("r"), F.col("l.band") == F.col("r.band")).where("l.d < r.d")
-    up, down = THRESHOLD
-    firsts = signs.select(F.col("doc_id").alias("d"), "size", F.posexplode("prefix").alias("at", "shingle"))
-    room = F.least(F.expr("l.size - l.at"), F.expr("r.size - r.at"))
-    shared = firsts.alias("l").join(firsts.alias("r"), F.col("l.shingle") == F.col("r.shingle")).where("l.d < r.d").where((up + down) * room >= up * (F.col("l.size") + F.col("r.size")))
-    found = banded.select(F.col("l.d").alias("a"), F.col("r.d").alias("b")).unionAll(shared.select(F.col("l.d").alias("a"), F.col("r.d").alias("b"))).distinct()
-    pairs = materialize(found, "p3-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = documents.join(wanted, "doc_id", "left_semi").mapInArrow(shingle_sets(heavy), "doc_id bigint, sh array<bigint>, w array<float>")
+    signs = signed.join(reps, "doc_id", "left_semi").withColumnRenamed("doc_id", "d")
+    rows = signs.select("d", "size", "skipped", "bands", "prefix").mapInArrow(postings(heavy, hot), "key bigint, d bigint, size int, at int")
+    met = rows.repartition("key").sortWithinPartitions("key", "size").mapInArrow(meetings, "a bigint, b bigint")
+    pairs = materialize(met.distinct(), "p3-pairs")
+    release(spark)
+    bits = signs.select("d", "size", "bits").dropDuplicates(["d"])
+    both = pairs.join(bits.toDF("a", "m", "x"), "a").join(bits.toDF("b", "n", "y"), "b").select("a", "b", "m", "x", "n", "y")
+    near = materialize(both.mapInArrow(close, "a bigint, b bigint"), "p3-close")
+    release(spark, signed, pairs)
+
+    wanted = spark.sparkContext.broadcast(wanted_filter(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+    sets = documents.withColumn("slot", wanted_slot()).mapInArrow(shingle_sets(heavy, wanted), "doc_id bigint, sh array<bigint>, w array<float>")
     sets = materialize(sets, "p3-sets").dropDuplicates(["doc_id"])
-    joined = pairs.join(sets.toDF("a", "x", "u"), "a").join(sets.toDF("b", "y", "v"), "b").select("a", "b", "x", "u", "y", "v")
-    links = joined.mapInArrow(verify, "a bigint, b bigint, share double, weighted double")
-    return members, links
+    joined = near.join(sets.toDF("a", "x", "u"), "a").join(sets.toDF("b", "y", "v"), "b").select("a", "b", "x", "u", "y", "v")
+    return members, joined.mapInArrow(verify, "a bigint, b bigint, share double, weighted double")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,8 +456,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id (least id with the same shingles), n_copies, n_links (other classes that match): one row per document of 20 words and more."""
+    """One row per document of 20 words and more.
+
+    doc_id, class_id (least id with the same shingles), n_copies (documents of the class), n_links (other classes with 0.6 of
+    the shingles in common), n_weighted (those of them whose weighted Jaccard similarity reaches 0.6 as well) and closest
+    (the greatest weighted similarity to a linked class, null without a link).
+    """
     members, links = near_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    out = members.distinct().join(degree, "rep", "left")
-    return out.select("doc_id", F.col("rep").alias("class_id"), F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    up, down = THRESHOLD
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep"), "weighted").groupBy("rep").agg(
+        F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("weighted") * down >= up).alias("n_weighted"), F.max("weighted").alias("closest")
+    )
+    out = members.join(degree, "rep", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return out.select("doc_id", F.col("rep").alias("class_id"), F.col("n").alias("n_copies"), count("n_links"), count("n_weighted"), F.round("closest", 6).alias("closest"))
