@@ -54,7 +54,7 @@ from skein.session import materialize, release, ship
 WIDTH = 3
 LEAST_WORDS = 20
 THETA = 1 / 1000
-BANDS, ROWS = 16, 3
+BANDS, ROWS = 12, 3
 #: Documents of a band that one is paired with.
 NEIGHBOURS = 32
 #: Counters of shingles, in blocks that are summed one by one; 24 bits of a hash choose one.
@@ -126,21 +126,35 @@ def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, hashed, _ = distinct(texts, ids)
             np.add.at(counters, slots_of(hashed), 1)
             docs += len(part)
-    blocks, packed = [-1], [zlib.compress(np.array([docs], np.int64).tobytes())]
+    blocks, packed = [-1], [np.array([docs], np.int64).tobytes()]
     for k in range(SLOTS // BLOCK):
         block = counters[k * BLOCK : (k + 1) * BLOCK]
         if block.any():
             blocks.append(k)
-            packed.append(zlib.compress(block.astype(np.int64).tobytes(), 1))
+            packed.append(pack_counts(block))
     yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """One byte for each count below 255, the others behind them."""
+    high = np.flatnonzero(counts >= 255)
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + np.concatenate([high, counts[high]]).astype(np.int64).tobytes(), 4)
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    data = zlib.decompress(packed)
+    counts = np.frombuffer(data, np.uint8, BLOCK).astype(np.int64)
+    high, values = np.frombuffer(data, np.int64, offset=BLOCK).reshape(2, -1)
+    counts[high] = values
+    return counts
+
+
 def sum_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sums of each block; a task holds one array per block it got, however many parts there are."""
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            more = np.frombuffer(zlib.decompress(counts), np.int64)
+            more = np.frombuffer(counts, np.int64) if block < 0 else unpack_counts(counts)
             held[block] = held[block] + more if block in held else more
     for block, counts in held.items():
         data = counts.tobytes() if block < 0 else zlib.compress(rounded(counts).tobytes(), 1)
@@ -240,8 +254,21 @@ def signer(heavy):
 STEP_BAND = U(0xA0761D6478BD642F)
 
 
+def outside(slots):
+    """The rows whose slot (the last column) isn't among ``slots``, or with ``inside`` those whose slot is."""
+
+    def run(inside: bool):
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(slots.value[batch.column(batch.num_columns - 1).to_numpy()] == inside))
+
+        return pick
+
+    return run
+
+
 def postings(heavy, hot: int):
-    """key, d, size, at: the bands of each document (size -1) and its prefix; hot shingles once for each pair of blocks."""
+    """key, d, place: the bands of each document (place -1) and its prefix (size and place in one number); hot shingles once for each pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,33 +294,26 @@ def postings(heavy, hot: int):
             owners.append(np.full(blocks, row[k]))
             places.append(np.full(blocks, at[k]))
         owner = np.concatenate(owners)
-        none = np.full(len(band), -1, np.int32)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([band, *keys])),
-                pa.array(np.concatenate([np.repeat(doc, BANDS), doc[owner]])),
-                pa.array(np.concatenate([none, size[owner]]).astype(np.int32)),
-                pa.array(np.concatenate([none, *places]).astype(np.int32)),
-            ],
-            ["key", "d", "size", "at"],
-        )
+        spots = size[owner].astype(np.int64) << 32 | np.concatenate(places)
+        columns = [np.concatenate([band, *keys]), np.concatenate([np.repeat(doc, BANDS), doc[owner]]), np.concatenate([np.full(len(band), -1), spots])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "d", "place"])
 
     return run
 
 
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, d, size, at in order of key and size -> a, b: the pairs of each key that can match by length and position."""
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    """key, d, place in order of key and place -> a, b: the pairs of each key that can match by length and position."""
+    held = [np.zeros(0, np.int64)] * 3
     fresh = 0  # the held rows before this place have met each other
     for batch in batches:
-        rows = [np.concatenate([h, batch.column(k).to_numpy().astype(np.int64)]) for k, h in enumerate(held)]
-        key, _, size, _ = rows
+        rows = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+        key, _, spot = rows
         if not len(key):
             continue
         yield from meet(rows, fresh)
         # rows of the last key wait for more of it: of a band the neighbours, of a shingle all
         last = int(np.searchsorted(key, key[-1]))
-        if size[-1] < 0:
+        if spot[-1] < 0:
             last = max(last, len(key) - NEIGHBOURS)
         held = [r[last:] for r in rows]
         fresh = len(held[0])
@@ -301,7 +321,8 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def meet(rows: list[np.ndarray], fresh: int) -> Iterator[pa.RecordBatch]:
     up, down = THRESHOLD
-    key, d, size, at = rows
+    key, d, spot = rows
+    size, at = spot >> 32, spot & 0xFFFFFFFF  # of bands the size is -1
     n = len(key)
     place = np.arange(n)
     new = np.append(True, (key[1:] != key[:-1]) | ((size[1:] < 0) != (size[:-1] < 0)))
@@ -361,8 +382,8 @@ def wanted_filter(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def shingle_sets(heavy, wanted):
-    """doc_id, text, slot -> doc_id, sh (hashes), w (weights) of the whole texts in wanted slots."""
+def shingle_sets(wanted):
+    """doc_id, text, slot -> doc_id, sh (hashes), tf (how often each occurs) of the whole texts in wanted slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -378,36 +399,40 @@ def shingle_sets(heavy, wanted):
                     [
                         pa.array(docs[owner[starts]]),
                         pa.ListArray.from_arrays(offsets, pa.array(hashed.view(np.int64))),
-                        pa.ListArray.from_arrays(offsets, pa.array(weigh(hashed, counts, heavy.value).astype(np.float32))),
+                        pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))),
                     ],
-                    ["doc_id", "sh", "w"],
+                    ["doc_id", "sh", "tf"],
                 )
 
     return run
 
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, x, u, y, v -> a, b, common share and weighted Jaccard similarity of the pairs that reach the threshold."""
+def verify(heavy):
+    """a, b, x, s, y, t -> a, b, common share and weighted Jaccard similarity of the pairs that reach the threshold."""
     up, down = THRESHOLD
-    for batch in batches:
-        a, b = batch.column(0), batch.column(1)
-        keep, shares, weighted = [], [], []
-        lists = []
-        for k in range(2, 6):
-            column = batch.column(k)
-            lists.append((column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()))
-        for i in range(batch.num_rows):
-            x, u, y, v = (values[at[i] : at[i + 1]] for values, at in lists)
-            _, at_x, at_y = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-            common, union = len(at_x), len(x) + len(y) - len(at_x)
-            if common * down >= up * union:
-                least = float(np.minimum(u[at_x], v[at_y]).sum())
-                keep.append(i)
-                shares.append(common / union)
-                weighted.append(least / (float(u.sum()) + float(v.sum()) - least))
-        if keep:
-            rows = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows), pa.array(shares), pa.array(weighted)], ["a", "b", "share", "weighted"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, shares, weighted = [], [], []
+            lists = []
+            for k in range(2, 6):
+                column = batch.column(k)
+                lists.append((column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()))
+            for i in range(batch.num_rows):
+                x, s, y, t = (values[at[i] : at[i + 1]] for values, at in lists)
+                _, at_x, at_y = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                common, union = len(at_x), len(x) + len(y) - len(at_x)
+                if common * down >= up * union:
+                    u, v = weigh(x.view(np.uint64), s, heavy.value), weigh(y.view(np.uint64), t, heavy.value)
+                    least = float(np.minimum(u[at_x], v[at_y]).sum())
+                    keep.append(i)
+                    shares.append(common / union)
+                    weighted.append(least / (float(u.sum()) + float(v.sum()) - least))
+            if keep:
+                rows = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(shares), pa.array(weighted)], ["a", "b", "share", "weighted"])
+
+    return run
 
 
 def near_classes(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -426,22 +451,26 @@ def near_classes(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataF
     classes = keys.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     members = materialize(keys.join(classes, ["key_a", "key_b"]).select("doc_id", "rep", "n"), "p3-members")
 
-    reps = members.where("doc_id = rep").select("doc_id").distinct()
-    signs = signed.join(reps, "doc_id", "left_semi").withColumnRenamed("doc_id", "d")
-    rows = signs.select("d", "size", "skipped", "bands", "prefix").mapInArrow(postings(heavy, hot), "key bigint, d bigint, size int, at int")
-    met = rows.repartition("key").sortWithinPartitions("key", "size").mapInArrow(meetings, "a bigint, b bigint")
+    # copies take no part in pairing.  What isn't in a slot of a copy is no copy; only the others are looked up.
+    slots = spark.sparkContext.broadcast(wanted_filter(members.where("doc_id <> rep").select("doc_id")))
+    parts = signed.select("doc_id", "size", "skipped", "bands", "prefix").withColumn("slot", wanted_slot())
+    pick = outside(slots)
+    sure = parts.mapInArrow(pick(False), parts.schema)
+    rest = parts.mapInArrow(pick(True), parts.schema).join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    rows = sure.unionByName(rest).withColumnRenamed("doc_id", "d").mapInArrow(postings(heavy, hot), "key bigint, d bigint, place bigint")
+    met = rows.repartition("key").sortWithinPartitions("key", "place").mapInArrow(meetings, "a bigint, b bigint")
     pairs = materialize(met.distinct(), "p3-pairs")
     release(spark)
-    bits = signs.select("d", "size", "bits").dropDuplicates(["d"])
+    bits = signed.select("doc_id", "size", "bits")
     both = pairs.join(bits.toDF("a", "m", "x"), "a").join(bits.toDF("b", "n", "y"), "b").select("a", "b", "m", "x", "n", "y")
-    near = materialize(both.mapInArrow(close, "a bigint, b bigint"), "p3-close")
+    near = materialize(both.mapInArrow(close, "a bigint, b bigint").distinct(), "p3-close")
     release(spark, signed, pairs)
 
     wanted = spark.sparkContext.broadcast(wanted_filter(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
-    sets = documents.withColumn("slot", wanted_slot()).mapInArrow(shingle_sets(heavy, wanted), "doc_id bigint, sh array<bigint>, w array<float>")
+    sets = documents.withColumn("slot", wanted_slot()).mapInArrow(shingle_sets(wanted), "doc_id bigint, sh array<bigint>, tf array<int>")
     sets = materialize(sets, "p3-sets").dropDuplicates(["doc_id"])
-    joined = near.join(sets.toDF("a", "x", "u"), "a").join(sets.toDF("b", "y", "v"), "b").select("a", "b", "x", "u", "y", "v")
-    return members, joined.mapInArrow(verify, "a bigint, b bigint, share double, weighted double")
+    joined = near.join(sets.toDF("a", "x", "s"), "a").join(sets.toDF("b", "y", "t"), "b").select("a", "b", "x", "s", "y", "t")
+    return members, joined.mapInArrow(verify(heavy), "a bigint, b bigint, share double, weighted double")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,9 +134,8 @@ def test_parities_bound_the_difference():
 
 def test_a_crowded_key_meets_in_parts():
     n = 300
-    key, size = np.repeat([5, 9], [n, 40]), np.append(np.full(n, 100), np.full(40, -1))
-    rows = [key, np.arange(n + 40), size, np.where(size < 0, -1, 0)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 37]) for c in rows], ["key", "d", "size", "at"]) for k in range(0, n + 40, 37)]
+    rows = [np.repeat([5, 9], [n, 40]), np.arange(n + 40), np.append(np.full(n, 100 << 32), np.full(40, -1))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 37]) for c in rows], ["key", "d", "place"]) for k in range(0, n + 40, 37)]
     got = [p for b in P3.meetings(iter(batches)) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())]
     assert len(got) == len(set(got))
     assert {p for p in got if p[0] < n} == {(i, j) for i in range(n) for j in range(i + 1, n)}
