@@ -9,7 +9,7 @@ containers of the groups cost well under a thousandth of the space, and no task
 
 Defined cases: a null or empty text has size 0 and takes its place in the first container of its
 group; a document delivered twice counts once, with the larger size; null ids are dropped; capacities
-that are null or below 1 are dropped; equal sizes are taken by rising id.
+that are null or below 1 are dropped; a model listed with several capacities is packed once for each; equal sizes are taken by rising id.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, group: int = GROUP) -> DataFra
     rest = items.where("n_tokens = 0 or n_tokens % capacity > 0").select(
         "model", "capacity", F.pmod(F.xxhash64(F.lit("p9"), F.col("doc_id")), F.lit(groups)).alias("grp"), "doc_id", F.col("whole").alias("piece"), (F.col("whole") * F.col("capacity")).alias("start"), (F.col("n_tokens") % F.col("capacity")).alias("size")
     )
-    return rest.groupBy("model", "grp").applyInArrow(pack_group, schema).unionByName(full)
+    return rest.groupBy("model", "capacity", "grp").applyInArrow(pack_group, schema).unionByName(full)
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
