@@ -6,13 +6,14 @@ In every partition
 * each distinct piece is a *word* of token-position rows (word, pos, token), at first one row a byte;
 * a recursive DuckDB query joins the rows with the merge table and contracts each word's leftmost pair
   of least rank, until no pair of the word is in the table; an aggregation ordered by position gives the
-  word's ids;
+  word's ids.  The other places of the same pair follow in the same turn, from the left: as every merge of a
+  token ranks behind the one that made it, which is checked when the table is read, they would be the next ones anyway;
 * the ids of the words are put together by document.
 
-A word that is itself a token is not contracted: the merges of every token of this table lead to it, which
-a test holds for all of them.  Words are encoded once per worker; the memory that holds
-them is emptied at a bounded size.  Words over ``LONG`` bytes, whose rows would grow with the square of
-their length, are contracted in the same order by a heap.
+The query keeps one row for each byte of its words, whatever the number of turns, so its memory is bounded by
+QUERY_BYTES, or by the longest word.  A word that is itself a token is not contracted: the merges of every token of
+this table lead to it, which a test holds for all of them.  Words are encoded once per worker and known again by
+two hashes of 64 bits; the memory that holds them is emptied at a bounded size.
 
 Defined cases: null and empty texts have the empty list of ids; strings of special tokens are ordinary
 text; repeated rows give repeated rows; a null doc_id is kept.
@@ -21,11 +22,12 @@ text; repeated rows give repeated rows; a null doc_id is kept.
 from __future__ import annotations
 
 import base64
-import heapq
 import json
 import os
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -38,11 +40,14 @@ from skein.session import ship
 
 #: Where the public vocabulary files lie, on every machine.
 TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
-LONG = 400
 #: Bytes of words in one recursive query, and words held by a worker.
 QUERY_BYTES, HELD = 1 << 19, 1 << 20
+#: Memory of a query; a word of more than QUERY_BYTES gets as much more as it is longer.
+MEMORY_MB = 400
 #: Characters that are cut at once.
 CUT = 1 << 20
+#: Characters whose new words are contracted together.
+TOGETHER = 1 << 24
 
 LETTER, NUMBER, SPACE, OTHER, EDGE = range(5)
 #: White space of the pattern (fixed values).
@@ -107,8 +112,10 @@ class Vocabulary:
             result.append(self.id[a + b])
         if len(set(result)) != len(result):
             raise ValueError("a token has two merges, so words that are tokens would have to be contracted")
+        made = {c: k for k, c in enumerate(result)}
+        if any(max(made.get(a, -1), made.get(b, -1)) >= k for k, (a, b) in enumerate(zip(left, right))):
+            raise ValueError("a merge ranks before the one that makes its part, so equal pairs can't be contracted in one turn")
         self.merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(range(len(left)), pa.int32()), "result": pa.array(result, pa.int32())})
-        self.pairs = {(a, b): (k, c) for k, (a, b, c) in enumerate(zip(left, right, result))}
 
 
 def byte_letters() -> dict[str, int]:
@@ -119,47 +126,39 @@ def byte_letters() -> dict[str, int]:
 
 
 CONTRACT = """
-WITH RECURSIVE state(word, pos, tok, turn) AS (
-    SELECT word, pos, tok, 0 FROM bytes
-    UNION ALL
-    (WITH pairs AS (
-        SELECT word, pos, tok, turn, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos
-        FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)),
-    least AS (
-        SELECT word, min(rank::BIGINT * 65536 + pos) AS best, arg_min(next_pos, rank::BIGINT * 65536 + pos) AS gone, arg_min(result, rank::BIGINT * 65536 + pos) AS result
-        FROM pairs JOIN merges ON tok = l AND next_tok = r GROUP BY word)
-    SELECT s.word, s.pos, CASE WHEN s.pos = b.best % 65536 THEN b.result ELSE s.tok END, s.turn + 1
-    FROM state s JOIN least b ON s.word = b.word WHERE s.pos <> b.gone)
+WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
+    SELECT word, pos, tok FROM bytes
+    UNION
+    (WITH live AS (
+        SELECT word, pos, tok FROM recurring.state WHERE tok IS NOT NULL AND word IN (SELECT word FROM state)),
+    ranked AS (
+        SELECT word, pos, next_pos, result, rank
+        FROM (SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos FROM live WINDOW w AS (PARTITION BY word ORDER BY pos))
+        JOIN merges ON tok = l AND next_tok = r),
+    least AS (SELECT word, min(rank) AS rank FROM ranked GROUP BY word),
+    hits AS (SELECT word, pos, next_pos, result FROM ranked JOIN least USING (word, rank)),
+    chained AS (
+        SELECT *, sum(fresh) OVER (PARTITION BY word ORDER BY pos) AS chain
+        FROM (SELECT *, (lag(next_pos) OVER (PARTITION BY word ORDER BY pos) IS DISTINCT FROM pos)::INTEGER AS fresh FROM hits)),
+    merged AS (
+        SELECT word, pos, next_pos, result FROM chained
+        QUALIFY row_number() OVER (PARTITION BY word, chain ORDER BY pos) % 2 = 1)
+    SELECT unnest([word, word]) AS word, unnest([pos, next_pos]) AS pos, unnest([result, NULL]) AS tok FROM merged)
 )
-SELECT word, list(tok ORDER BY pos) AS ids
-FROM (SELECT word, pos, tok, turn, max(turn) OVER (PARTITION BY word) AS last FROM state) WHERE turn = last
-GROUP BY word ORDER BY word
+SELECT word, list(tok ORDER BY pos) AS ids FROM state WHERE tok IS NOT NULL GROUP BY word ORDER BY word
 """
 
 
-def contract_long(word: bytes, vocabulary: Vocabulary) -> list[int]:
-    """The same contraction for one long word: pairs wait in a heap by rank and place."""
-    tok = [vocabulary.id[bytes([b])] for b in word]
-    after, before = list(range(1, len(tok) + 1)), list(range(-1, len(tok) - 1))
-    heap: list[tuple[int, int, int, int]] = []
-
-    def push(i: int) -> None:
-        if i >= 0 and after[i] < len(tok) and (m := vocabulary.pairs.get((tok[i], tok[after[i]]))):
-            heapq.heappush(heap, (m[0], i, tok[i], tok[after[i]]))
-
-    for i in range(len(tok)):
-        push(i)
-    while heap:
-        rank, i, a, b = heapq.heappop(heap)
-        if tok[i] != a or (j := after[i]) >= len(tok) or tok[j] != b:
-            continue
-        tok[i], tok[j] = vocabulary.pairs[a, b][1], -1
-        after[i] = after[j]
-        if after[i] < len(tok):
-            before[after[i]] = i
-        push(before[i])
-        push(i)
-    return [t for t in tok if t >= 0]
+@dataclass
+class Cut:
+    texts: int
+    owner: np.ndarray  # the text of each word
+    unique: np.ndarray
+    again: np.ndarray
+    inverse: np.ndarray
+    known: np.ndarray
+    words: list[bytes]
+    apart: bool
 
 
 class Encoder:
@@ -168,34 +167,36 @@ class Encoder:
     def __init__(self, name: str):
         self.vocabulary = Vocabulary(name)
         self.classes = Classes()
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         self.db.register("merges_in", self.vocabulary.merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.byte_ids = np.array([self.vocabulary.id[bytes([b])] for b in range(256)], np.int32)
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.again, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def contract(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word.  Words of like length share a query, as the longest of a query decides its number of turns."""
         out: list[list[int]] = [[]] * len(words)
         block: list[int] = []
-        size = 0
-        for k, word in enumerate(words):
-            if len(word) > LONG:
-                out[k] = contract_long(word, self.vocabulary)
-                continue
-            block.append(k)
-            size += len(word)
-            if size >= QUERY_BYTES:
-                self.query(words, block, out)
+        size = most = 0
+        for k in sorted(range(len(words)), key=lambda k: len(words[k])):
+            if block and (size + len(words[k]) > QUERY_BYTES or len(words[k]) > most):
+                self.query(words, block, size, out)
                 block, size = [], 0
+            if not block:
+                most = max(16, 2 * len(words[k]))
+            block.append(k)
+            size += len(words[k])
         if block:
-            self.query(words, block, out)
+            self.query(words, block, size, out)
         return out
 
-    def query(self, words: list[bytes], block: list[int], out: list[list[int]]) -> None:
+    def query(self, words: list[bytes], block: list[int], size: int, out: list[list[int]]) -> None:
+        if size > 2 * QUERY_BYTES:
+            self.db.execute(f"SET memory_limit = '{MEMORY_MB * (size // QUERY_BYTES + 1)}MB'")
         sizes = np.array([len(words[k]) for k in block])
         data = np.frombuffer(b"".join(words[k] for k in block), np.uint8)
         place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -206,20 +207,22 @@ class Encoder:
         for k, ids in zip(result["word"].to_pylist(), result["ids"].to_pylist()):
             out[block[k]] = ids
 
-    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        if len(self.hashes) > HELD:
-            self.forget()
+    def tokens_of(self, words: list[bytes]) -> list[list[int]]:
         known = [self.vocabulary.id.get(w) for w in words]
         rest = [k for k, i in enumerate(known) if i is None]
         lists: list[list[int]] = [[i] if i is not None else [] for i in known]
         for k, ids in zip(rest, self.contract([words[k] for k in rest])):
             lists[k] = ids
+        return lists
+
+    def learn(self, hashes: np.ndarray, again: np.ndarray, words: list[bytes]) -> None:
+        lists = self.tokens_of(words)
         count = np.fromiter(map(len, lists), np.int64, len(lists))
         at = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, np.fromiter((i for ids in lists for i in ids), np.int32, int(count.sum()))])
-        hashes, at, count = np.concatenate([self.hashes, hashes]), np.concatenate([self.at, at]), np.concatenate([self.count, count])
+        hashes, again, at, count = np.concatenate([self.hashes, hashes]), np.concatenate([self.again, again]), np.concatenate([self.at, at]), np.concatenate([self.count, count])
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.at, self.count = hashes[order], at[order], count[order]
+        self.hashes, self.again, self.at, self.count = hashes[order], again[order], at[order], count[order]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.hashes):
@@ -227,8 +230,8 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return at, self.hashes[at] == hashes
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and the number of ids of each."""
+    def cut(self, texts: list[str], apart: bool = False) -> Cut:
+        """The words of all texts, and those that this worker doesn't know yet; ``apart``: all of them."""
         joined = "".join(t + "\0" for t in texts)
         points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
@@ -237,26 +240,60 @@ class Encoder:
         starts = piece_starts(points, kind)
         sizes = np.diff(np.append(starts, len(points)))
         place = np.arange(len(points)) - np.repeat(starts, sizes)
-        hashed = mix(mix(points.astype(np.uint64) * U(0x9E3779B1) + place.astype(np.uint64) * U(0x85EBCA6B27D4EB2F)) + U(1))
-        hashes = mix(np.add.reduceat(hashed, starts) + sizes.astype(np.uint64))
+        spread = points.astype(np.uint64) * U(0x9E3779B1) + place.astype(np.uint64) * U(0x85EBCA6B27D4EB2F)
+        hashes = mix(np.add.reduceat(mix(mix(spread) + U(1)), starts) + sizes.astype(np.uint64))
+        again = mix(np.bitwise_xor.reduceat(mix(spread + U(0xC2B2AE3D27D4EB4F)), starts) + sizes.astype(np.uint64))
         edge = points[starts] == EDGE_CHAR
         owner = np.searchsorted(ends, starts)[~edge]
-        starts, sizes, hashes = starts[~edge], sizes[~edge], hashes[~edge]
+        starts, sizes, hashes, again = starts[~edge], sizes[~edge], hashes[~edge], again[~edge]
+        word = lambda k: joined[starts[k] : starts[k] + sizes[k]].encode("utf-8", "replace")
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        _, known = self.find(unique)
-        if not known.all():
-            new = first[~known]
-            words = [joined[a:b].encode("utf-8", "replace") for a, b in zip(starts[new].tolist(), (starts[new] + sizes[new]).tolist())]
-            held = len(self.hashes)
-            self.learn(unique[~known], words)
-            if len(self.hashes) < held:  # it was emptied: the others are needed again
-                old = first[known]
-                self.learn(unique[known], [joined[a:b].encode("utf-8", "replace") for a, b in zip(starts[old].tolist(), (starts[old] + sizes[old]).tolist())])
-        at, _ = self.find(unique)
-        begin, count = self.at[at][inverse], self.count[at][inverse]
-        total = int(count.sum())
-        take = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(total)
-        return self.ids[take], np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
+        at, known = self.find(unique)
+        apart = apart or (again[first][inverse] != again).any() or (self.again[at[known]] != again[first][known]).any()
+        wanted = range(len(starts)) if apart else first[~known].tolist()
+        return Cut(len(texts), owner.astype(np.int32), unique, again[first], inverse.astype(np.int32), known, [word(k) for k in wanted], apart)
+
+    def learn_all(self, cuts: list[Cut]) -> None:
+        """Contract what the cuts don't know, all at once."""
+        new: dict[int, tuple[int, bytes]] = {}
+        for c in cuts:
+            if not c.apart:
+                new.update(zip(c.unique[~c.known].tolist(), zip(c.again[~c.known].tolist(), c.words)))
+        clash = {h for c in cuts if not c.apart for h, a in zip(c.unique[~c.known].tolist(), c.again[~c.known].tolist()) if new[h][0] != a}
+        for c in cuts:
+            c.apart = c.apart or bool(clash)
+        if new and not clash:
+            self.learn(np.fromiter(new, np.uint64, len(new)), np.array([a for a, _ in new.values()], np.uint64), [w for _, w in new.values()])
+
+    def ids_of(self, c: Cut) -> tuple[np.ndarray, np.ndarray]:
+        at, _ = self.find(c.unique)
+        begin, count = self.at[at][c.inverse], self.count[at][c.inverse]
+        ids = self.ids[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        return ids, np.bincount(c.owner, weights=count, minlength=c.texts).astype(np.int64)
+
+    def encode_many(self, runs: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each run of texts the ids of all texts one after another, and the number of ids of each."""
+        if len(self.hashes) > HELD:
+            self.forget()
+        cuts = [self.cut(texts) for texts in runs]
+        self.learn_all(cuts)
+        return [self.one_by_one(texts) if c.apart else self.ids_of(c) for texts, c in zip(runs, cuts)]
+
+    def one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For words with the same first hash as others: every word by itself."""
+        c = self.cut(texts, apart=True)
+        lists = self.tokens_of(c.words)
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((i for ids in lists for i in ids), np.int32, int(count.sum())), np.bincount(c.owner, weights=count, minlength=c.texts).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_many([texts])[0]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(name: str) -> Encoder:
+    """One for each Python worker, which goes on to the next tasks with the words it met."""
+    return Encoder(name)
 
 
 def cuts(texts: list[str | None]) -> Iterator[list[str]]:
@@ -274,18 +311,28 @@ def cuts(texts: list[str | None]) -> Iterator[list[str]]:
 
 def encode_with(name: str, lengths_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(name)
+        encoder = encoder_of(name)
+        docs, runs, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for ids, (out, counts) in zip(docs, encoder.encode_many(runs)):
+                if lengths_only:
+                    column = pa.array(counts)
+                else:
+                    column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(out))
+                yield pa.RecordBatch.from_arrays([ids, column], ["doc_id", "n_tokens" if lengths_only else "ids"])
+
         for batch in batches:
             at = 0
             for texts in cuts(batch.column(1).to_pylist()):
-                ids, counts = encoder.encode(texts)
-                docs = batch.column(0).slice(at, len(texts))
+                docs.append(batch.column(0).slice(at, len(texts)))
+                runs.append(texts)
                 at += len(texts)
-                if lengths_only:
-                    out = pa.array(counts)
-                else:
-                    out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([docs, out], ["doc_id", "n_tokens" if lengths_only else "ids"])
+                size += sum(map(len, texts))
+                if size >= TOGETHER:
+                    yield from flush()
+                    docs, runs, size = [], [], 0
+        yield from flush()
 
     return run
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from skein.llm import p04_scan as P4
@@ -160,15 +161,46 @@ def test_encoding_is_that_of_the_library(encoder, reference):
         at += n
 
 
+def contracted(word, vocabulary):
+    """One merge at a time, the leftmost of the least rank."""
+    ranks = {(a, b): (k, c) for k, (a, b, c) in enumerate(zip(*(vocabulary.merges[x].to_pylist() for x in ("l", "r", "result"))))}
+    tok = [vocabulary.id[bytes([b])] for b in word]
+    while True:
+        found = min(((ranks[p][0], i) for i, p in enumerate(zip(tok, tok[1:])) if p in ranks), default=None)
+        if found is None:
+            return tok
+        i = found[1]
+        tok[i : i + 2] = [ranks[tok[i], tok[i + 1]][1]]
+
+
 def test_every_token_is_what_its_merges_make(encoder):
-    for token, i in encoder.vocabulary.id.items():
-        assert P8.contract_long(token, encoder.vocabulary) == [i]
+    tokens = list(encoder.vocabulary.id)
+    assert encoder.contract(tokens) == [[i] for i in encoder.vocabulary.id.values()]
 
 
-def test_query_and_heap_agree(encoder):
+def test_query_contracts_as_one_merge_at_a_time(encoder):
     r = random.Random(1)
-    words = [bytes(r.randrange(256) for _ in range(r.randint(1, 40))) for _ in range(200)] + ["ananas banana bandana".replace(" ", "").encode() * 5]
-    assert encoder.contract(words) == [P8.contract_long(w, encoder.vocabulary) for w in words]
+    words = [bytes(r.randrange(256) for _ in range(r.randint(1, 40))) for _ in range(100)] + [b"ananasbananabandana" * 5, b"aaaaaaa", b"aaaabaaa", b"\xe4\xb8\xad" * 41]
+    words += ["".join(r.choice("aab") for _ in range(r.randint(1, 60))).encode() for _ in range(50)]
+    assert encoder.contract(words) == [contracted(w, encoder.vocabulary) for w in words]
+
+
+def test_long_runs_of_letters_and_signs(encoder, reference):
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(100)) for _ in range(3000)), "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(2000)), "x" * 200_000, "中" * 100_000]
+    texts += ["。".join("".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(130)) for _ in range(400))]
+    ids, counts = encoder.encode(texts)
+    assert ids.tolist() == [i for e in reference.encode_batch(texts, add_special_tokens=False) for i in e.ids]
+
+
+def test_words_of_equal_first_hash(encoder, monkeypatch):
+    texts = ["one two", "three four two", "five"]
+    want = [encoder.encode([t])[0].tolist() for t in texts]
+    other = P8.Encoder("byte_bpe_50k")
+    real = np.unique
+    monkeypatch.setattr(P8.np, "unique", lambda x, **k: real(np.zeros_like(x), **k))
+    ids, counts = other.encode(texts)
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
 
 
 def test_encoding_of_nothing_and_forgetting(spark, encoder, monkeypatch):
