@@ -2,10 +2,10 @@
 
 A text is cut into leaf blocks: every line is cut at its tags, each tag is a block of its own, and every
 block knows its ancestor tags.  A linear-chain conditional random field labels the blocks as plain
-text, html, markdown, wiki, latex, formula or code.  Its features are the block's own signs, its ancestor
-tags and which kinds of unmistakable signs the document holds at all, so that a sign of several kinds
-(``* item``, ``# item``, ``<ref>``) takes the kind of its neighbours and of the document; a block with such
-signs alone can only have a kind that the document has for certain, if there is one.
+text, html, markdown, wiki, latex, formula or code.  Its features are the block's own signs, the names of
+all its ancestor tags and of its parent, its place on the line, and which kinds of unmistakable signs the document
+holds at all, so that a sign of several kinds (``* item``, ``# item``) takes the kind of its neighbours and of the
+document.  No rule overrules the model.  Tags are html in wiki text as well, as are comments and entities.
 The model is trained on pages labelled by construction (``training_pages``: PAGES pages from a seeded
 generator), by gradient ascent on the conditional likelihood, and decoded by Viterbi.
 
@@ -98,19 +98,24 @@ ANY_SIGN = re.compile(r"<[A-Za-z/!]|&[#A-Za-z]|[#`\\\[{~]|\*\S|\S\*|__|''|^[ \t]
 #: Signs that a block can have without any of those.
 QUIET = ("number", "proof", "code_line", "indent")
 
-FEATURES = ["bias", "tag", "wiki_tag", "in_wiki_tag", "in_pre", "in_script", "in_tag", "in_fence", "in_template", "in_environment", "in_verbatim", "first", *SIGNS, *(f"doc_{k}" for k in KINDS), *(f"doc_no_{k}" for k in KINDS), *(f"sure_{k}" for k in KINDS)]
+#: Tags that features name; all others are "other".
+NAMED = (
+    "html head title body div span p br hr a b i em strong u s sub sup small font h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th caption pre code tt kbd"
+    " blockquote cite img script style noscript nav header footer section article aside main form input button label iframe details summary meta link ref math nowiki gallery".split()
+)
+FEATURES = ["bias", "tag", "closing", "wiki_tag", "in_wiki_tag", "in_pre", "in_script", "in_tag", "in_fence", "in_template", "in_environment", "in_verbatim", "first", *SIGNS, *(f"doc_{k}" for k in KINDS), *(f"doc_no_{k}" for k in KINDS), *(f"sure_{k}" for k in KINDS)]
 #: Signs of several kinds together with the kinds the document surely has.
-SHARED = ["hash_one", "md_table", "underline", "rule", "wiki_row", "wiki_indent", "colon", "star", "dash", "number", "latex_comment", "latex_quotes", "indent", "wiki_tag", "in_template"]
+SHARED = ["hash_one", "md_table", "underline", "rule", "wiki_row", "wiki_indent", "colon", "star", "dash", "number", "latex_comment", "latex_quotes", "indent", "in_template"]
 FEATURES += [f"{s}&{k}" for s in SHARED for k in KINDS] + [f"{s}&no_{k}" for s in SHARED for k in KINDS]
+FEATURES += [f"{role}:{t}" for role in ("is", "in", "under") for t in [*NAMED, "other"]]
 PLACE = {name: k for k, name in enumerate(FEATURES)}
 
 
 class Block:
-    __slots__ = ("text", "line", "ancestors", "tag", "features", "barred")
+    __slots__ = ("text", "line", "ancestors", "tag", "features")
 
     def __init__(self, text: str, line: int, ancestors: tuple[str, ...], tag: str):
         self.text, self.line, self.ancestors, self.tag, self.features = text, line, ancestors, tag, []
-        self.barred: list[int] = []  # kinds that the block can't have
 
 
 def holding(text: str, tags: list[re.Match]) -> set[int]:
@@ -164,6 +169,10 @@ def blocks_of(text: str) -> list[Block]:
     return out
 
 
+def named(tag: str) -> str:
+    return tag if tag in NAMED else "other"
+
+
 def describe(blocks: list[Block]) -> bool:
     """Fill in the blocks' features; False if no block has a sign."""
     sure: set[int] = set()
@@ -179,10 +188,12 @@ def describe(blocks: list[Block]) -> bool:
             names.append("first")
         if b.tag:
             signs = True
-            wiki = b.tag in WIKI_TAGS
-            names.append("wiki_tag" if wiki else "tag")
-            if not wiki:
-                sure.add(HTML)
+            sure.add(HTML)
+            names += ["tag", f"is:{named(b.tag)}"]
+            if b.tag in WIKI_TAGS:
+                names.append("wiki_tag")
+            if b.text[1] == "/":
+                names.append("closing")
         else:
             code = fence or verbatim or "pre" in b.ancestors or "script" in b.ancestors or "style" in b.ancestors
             at_start = b.line != last_line
@@ -223,6 +234,8 @@ def describe(blocks: list[Block]) -> bool:
         last_line = b.line
         if b.ancestors:
             inner = set(b.ancestors)
+            names += [f"in:{t}" for t in {named(a) for a in inner}]
+            names.append(f"under:{named(b.ancestors[-1])}")
             names.append("in_wiki_tag" if inner & WIKI_TAGS else "in_tag")
             if inner & {"pre", "code"}:
                 names.append("in_pre")
@@ -231,10 +244,7 @@ def describe(blocks: list[Block]) -> bool:
         b.features = names
     kinds = [KINDS[k - 1] for k in sure]
     shared = set(SHARED)
-    other = [k for k in range(1, 1 + len(KINDS)) if k not in sure] if sure else []
     for b in blocks:
-        if not b.tag and not any(n.startswith("sure_") for n in b.features):
-            b.barred = other  # signs of several kinds count for the kinds of the document's other signs
         names = b.features + [f"doc_{k}" if k in kinds else f"doc_no_{k}" for k in KINDS]
         names += [f"{s}&{k if k in kinds else 'no_' + k}" for s in b.features if s in shared for k in KINDS]
         b.features = [PLACE[n] for n in names]
@@ -249,8 +259,6 @@ class Chain:
 
     def decode(self, blocks: list[Block]) -> list[int]:
         scores = np.array([self.emit[b.features].sum(axis=0) for b in blocks])
-        for row, b in zip(scores, blocks):
-            row[b.barred] = -1e9
         best = scores[0]
         back = []
         for row in scores[1:]:
@@ -266,41 +274,47 @@ class Chain:
 
 def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 150, rate: float = 0.1, prior: float = 0.02) -> Chain:
     """Gradient ascent (Adam) on the conditional log-likelihood, all pages at once."""
-    n, steps, many = len(pages), max(len(p) for p, _ in pages), len(LABELS)
-    x = np.zeros((n, steps, len(FEATURES)))
+    pages = sorted(pages, key=lambda page: -len(page[0]))
+    n, steps, many = len(pages), len(pages[0][0]), len(LABELS)
+    x = np.zeros((sum(len(p) for p, _ in pages), len(FEATURES)))  # one row a block, page by page
     gold = np.zeros((n, steps), np.int64)
     live = np.zeros((n, steps))
+    row = 0
     for i, (page, labels) in enumerate(pages):
         for t, (b, y) in enumerate(zip(page, labels)):
-            x[i, t, b.features] = 1
+            x[row, b.features] = 1
             gold[i, t], live[i, t] = y, 1
+            row += 1
+    there = live > 0
+    longer = there.sum(axis=0)  # pages with a block at each place: the first ones, as the longest come first
     one = np.eye(many)
-    flat = x.reshape(n * steps, -1)
-    observed_emit = flat.T @ (one[gold] * live[:, :, None]).reshape(n * steps, many)
+    observed_emit = x.T @ one[gold[there]]
     pairs = live[:, 1:]
     observed_move = (one[gold[:, :-1]] * pairs[:, :, None]).reshape(-1, many).T @ one[gold[:, 1:]].reshape(-1, many)
     emit, move = np.zeros((len(FEATURES), many)), np.zeros((many, many))
     state = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
     for turn in range(1, rounds + 1):
-        score = (flat @ emit).reshape(n, steps, many)
+        score = np.zeros((n, steps, many))
+        score[there] = x @ emit
         here = np.exp(score - score.max(axis=2, keepdims=True))
         step = np.exp(move - move.max())
         ahead, behind = np.ones((n, steps, many)), np.ones((n, steps, many))  # scaled to sum to 1 at every place
         ahead[:, 0] = here[:, 0] / here[:, 0].sum(axis=1, keepdims=True)
         for t in range(1, steps):
-            now = (ahead[:, t - 1] @ step) * here[:, t]
-            ahead[:, t] = now / now.sum(axis=1, keepdims=True)
+            k = longer[t]
+            now = (ahead[:k, t - 1] @ step) * here[:k, t]
+            ahead[:k, t] = now / now.sum(axis=1, keepdims=True)
         expect_move = np.zeros_like(move)
         for t in range(steps - 2, -1, -1):
-            right = here[:, t + 1] * behind[:, t + 1]
+            k = longer[t + 1]
+            right = here[:k, t + 1] * behind[:k, t + 1]
             now = right @ step.T
-            on = live[:, t + 1, None] > 0
-            behind[:, t] = np.where(on, now / now.sum(axis=1, keepdims=True), 1.0)
-            norm = ((ahead[:, t] @ step) * right).sum(axis=1, keepdims=True)
-            expect_move += step * ((np.where(on, ahead[:, t] / norm, 0.0)).T @ right)
+            behind[:k, t] = now / now.sum(axis=1, keepdims=True)
+            norm = ((ahead[:k, t] @ step) * right).sum(axis=1, keepdims=True)
+            expect_move += step * ((ahead[:k, t] / norm).T @ right)
         chance = ahead * behind
         chance *= live[:, :, None] / chance.sum(axis=2, keepdims=True)
-        expect_emit = flat.T @ chance.reshape(n * steps, many)
+        expect_emit = x.T @ chance[there]
         for k, (weights, gradient) in enumerate(((emit, observed_emit - expect_emit), (move, observed_move - expect_move))):
             gradient = gradient / n - prior * weights / 10
             state[2 * k] = 0.9 * state[2 * k] + 0.1 * gradient
@@ -338,7 +352,7 @@ def training_pages(n: int, seed: int = 7) -> list[tuple[list[Block], list[int]]]
             lambda: [("=" * (k := r.randint(2, 4)) + " " + words() + " " + "=" * k, WIKI)], lambda: [("{{Infobox x", WIKI), ("| name = " + words(1, 3), WIKI), ("| rank = 3", WIKI), ("}}", WIKI)],
             lambda: [(r.choice(["*", "#", "**", ":", "##", "*#"]) + " " + words(), WIKI) for _ in range(r.randint(2, 5))], lambda: [(decorated("[[{}]]", "[[A page|{}]]", "'''{}'''", "''{}''", "{{{{cite|{}}}}}"), WIKI)],
             lambda: [("{| class=wikitable", WIKI), ("|-", WIKI), ("| 1 || 2", WIKI), ("|}", WIKI)], lambda: [("[[Category:" + words(1, 3) + "]]", WIKI)], lambda: [("__NOTOC__", WIKI)], lambda: [("----", WIKI)], lambda: [("; " + words(1, 2) + " : " + words(1, 3), WIKI)],
-            lambda: [(words() + ".<ref name=r1>" + words(1, 4) + "</ref> <math>x^2</math>", -WIKI)], lambda: [(words(), TEXT)],
+            lambda: [(words() + ".<ref name=r1>" + words(1, 4) + "</ref> <math>x^2 + \\frac{1}{3}</math>", -HTML)], lambda: [(words() + r.choice(["<br/>", "&nbsp;", "<!-- hidden -->", "<small>x</small>", "<references />"]), -HTML)], lambda: [(words(), TEXT)],
         ])()
 
     def latex() -> list[tuple[str, int]]:
@@ -352,6 +366,9 @@ def training_pages(n: int, seed: int = 7) -> list[tuple[list[Block], list[int]]]
         return r.choice([
             lambda: [(f"<p>{words()}</p>", -HTML)], lambda: [("<ul>", -HTML), (f"<li>{words()}", -HTML), (f"<li>{words()}</li>", -HTML), ("</ul>", -HTML)], lambda: [(f"<h2 class=\"s\">{words()}</h2>", -HTML)],
             lambda: [(f"{words()} &lt; 3 &amp; {words()}&nbsp;{words()}", HTML)], lambda: [("<!-- nav 3 -->", -HTML)], lambda: [(f"{words()} <b>{words(1, 2)}</b> {words()}<br/>", -HTML)], lambda: [("<pre><code>x = 3", -HTML), ("y = x // 2</code></pre>", -HTML)], lambda: [(words(), TEXT)],
+            lambda: [(f"<div class=\"{words(1, 1)}\"><{(t := r.choice(NAMED))}>{words(1, 5)}</{t}> <a href=\"/p\">{words(1, 2)}</a>", -HTML), (f"{r.choice('*-')} {words()}", TEXT), ("</div>", -HTML)],
+            lambda: [("<table><tr><th>A<td>B", -HTML), (f"<tr><td>{words(1, 3)}</td><td>{r.choice(formulas)}</td></tr></table>", -HTML)],
+            lambda: [("<!DOCTYPE html><html><head><title>" + words(1, 4) + "</title>", -HTML), ("<script>var a = 3;", -HTML), ("if (a > 2) { f(a); }</script></head><body>", -HTML)],
         ])()
 
     def plain() -> list[tuple[str, int]]:
@@ -372,9 +389,10 @@ def training_pages(n: int, seed: int = 7) -> list[tuple[list[Block], list[int]]]
         for b in page:
             y = made[b.line]
             if y < 0:  # tags have the kind; what stands between them is text, code or a formula
-                y = -y if b.tag else CODE if "pre" in b.ancestors else FORMULA if "math" in b.ancestors else TEXT
+                inner = set(b.ancestors)
+                y = -y if b.tag or PATTERNS["entity"].search(b.text) else CODE if inner & {"pre", "script", "style"} else FORMULA if "math" in inner or b.text.strip() in formulas else TEXT
             labels.append(y)
-        if page and len(page) <= 40:
+        if page:
             pages.append((page, labels))
     return pages
 

@@ -101,7 +101,7 @@ def test_markup_model_on_new_pages(chain):
     "text,want",
     [
         ("<p>One <b>bold</b> word.</p>", {"html"}), ("A &amp; B stand here.", {"html"}), ("## A title\n\nSome **bold** words.\n\n- item one\n- item two", {"markdown"}), ("See [this](https://a.example/p) for more.", {"markdown"}),
-        ("== A title ==\n\nSome '''bold''' words and a [[link]].\n* item one\n* item two", {"wiki"}), ("== A title ==\nText.<ref name=a>note</ref> <math>x^2</math> [[x]]", {"wiki"}), ("\\section{A title}\nSome \\emph{words}.\n\\begin{itemize}\n\\item one\n\\end{itemize}", {"latex"}),
+        ("== A title ==\n\nSome '''bold''' words and a [[link]].\n* item one\n* item two", {"wiki"}), ("== A title ==\nText.<ref name=a>note</ref> <math>x^2</math> [[x]]", {"html", "wiki"}), ("\\section{A title}\nSome \\emph{words}.\n\\begin{itemize}\n\\item one\n\\end{itemize}", {"latex"}),
         ("If $x^2 + \\frac{1}{3} = y$ then \\(a < b\\) holds.", set()), ("lemma a_1 (s : Set) : 1 ∈ s := by\n  intro h; simp [h, rule]\n  (* holds *)", set()), ("Plain words, 90 < c and y_2 * y_7 = 3.", set()), (" ", set()), ("- a dash\n- and another", set()),
     ],
 )
