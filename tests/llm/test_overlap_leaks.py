@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 from skein.llm import p01_overlap as P1
@@ -50,6 +51,10 @@ def test_hot_class_is_expanded_whole(spark):
     assert P1.overlap_pairs(spark.createDataFrame(rows, SFT)).count() == 270 * 30
 
 
+def pairs(documents, items):
+    return {(r["doc_id"], r["item_id"]) for r in P2.containment(documents, items).collect()}
+
+
 def test_leaks(spark):
     prompt = "A tank behind the dairy of Lorbury holds 33991 litres of maroon water and then some more of it"
     words = prompt.split()
@@ -60,7 +65,7 @@ def test_leaks(spark):
     }
     d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
     i = spark.createDataFrame(items, "item_id bigint, prompt string")
-    got = {tuple(r) for r in P2.containment(d.unionAll(d), i).collect()}
+    got = pairs(d.unionAll(d), i)
     assert got == {(k, n) for k in (10, 11, 13, 14, 15, 20, 21) for n in (1, 5)} | {(16, 2)}
     assert P2.containment(d, i.limit(0)).count() == 0 and P2.containment(d.limit(0), i).count() == 0
 
@@ -75,18 +80,36 @@ def test_leaks_between_comparison_signs(spark):
     }
     d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
     i = spark.createDataFrame(items, "item_id bigint, prompt string")
-    assert {tuple(r) for r in P2.containment(d, i).collect()} >= {(1, 1), (2, 1), (3, 2), (4, 2), (6, 2), (8, 3), (9, 3), (10, 2)}
-    assert not {(5, 2)} & {tuple(r) for r in P2.containment(d, i).collect()}
+    assert pairs(d, i) >= {(1, 1), (2, 1), (3, 2), (4, 2), (6, 2), (8, 3), (9, 3), (10, 2)}
+    assert not {(5, 2)} & pairs(d, i)
 
 
-def test_leaks_in_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(P2, "BLOCK", 2)
+def test_leaks_of_items_that_are_alike(spark):
     items = spark.createDataFrame([(k, f"find the rest of {k} apples") for k in range(7)], "item_id bigint, prompt string")
     docs = spark.createDataFrame([(k, f"say: find the rest of {k} apples!") for k in range(7)], "doc_id bigint, text string")
-    assert {tuple(r) for r in P2.containment(docs, items).collect()} == {(k, k) for k in range(7)}
+    assert pairs(docs, items) == {(k, k) for k in range(7)}
 
 
 def test_long_items_and_documents(spark):
     text = " ".join(f"w{i}" for i in range(3000))
     docs = spark.createDataFrame([(1, "x " * 50000 + text[2000:9000]), (2, "y " * 60000)], "doc_id bigint, text string")
-    assert [tuple(r) for r in P2.containment(docs, spark.createDataFrame([(9, text)], "item_id bigint, prompt string")).collect()] == [(1, 9)]
+    assert pairs(docs, spark.createDataFrame([(9, text)], "item_id bigint, prompt string")) == {(1, 9)}
+
+
+def test_each_hyphen_is_read_both_ways(spark):
+    prompt = "the well known miller of Lorbury sells a half dozen sacks of very good barley to every neighbour at noon"
+    docs = {
+        1: "the well-\nknown mil-\nler of Lor-\nbury sells a half-\ndozen sacks of ve-\nry good barley", 2: prompt.replace("well known", "well-\nknown").replace("barley", "bar-\nley"),
+        3: "x-\n" + prompt, 4: prompt.replace("very", "v-\ne-\nr-\ny").replace("half dozen", "half-\ndo-\nzen"), 5: "a well-\nknown mil-\nler", 6: "re-\n".join(prompt.split()[:12]),
+    }
+    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    assert pairs(d, spark.createDataFrame([(1, prompt)], "item_id bigint, prompt string")) == {(k, 1) for k in (1, 2, 3, 4)}
+
+
+def test_unclosed_comments_take_linear_time():
+    times = []
+    for n in (20_000, 40_000):
+        began = time.perf_counter()
+        P2.readings("<!-- a <b " * n, lambda w: True)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 5 * times[0] + 0.5
