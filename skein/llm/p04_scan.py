@@ -14,8 +14,8 @@ Per document, on its lines:
   word of the vocabulary; words with foreign characters (ligatures, long s, the replacement character,
   digits inside) are misread in any case.
 
-The vocabulary counts all words of all documents that are not scans.  Only words with at least RARE of
-all occurrences (and two) are kept, of which there are at most 1 / RARE, at every size of the corpus.
+The vocabulary counts all words of all documents that are not scans.  Words that occur twice at least are kept,
+and of those the WORDS most frequent ones, so its size is bounded and its reach doesn't shrink as the corpus grows.
 
 Defined cases: null, empty and blank texts have no line; a document's last line with a mark is not
 continued; repeated rows count once in found and give repeated rows in repair.
@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from skein.llm.tables import table
 from skein.session import materialize, ship
 
-RARE = 1e-6
+WORDS = 500_000
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 SOFT = "­‐‑¬"
 #: Characters by which the width of lines may be misjudged.
 SLACK = 4
-NUMBER = re.compile(r"^(?P<open>~ ?|[-–—] ?|\[ ?|\( ?|p\. ?|page |Page |S\. ?)?(?P<n>\d{1,5})(?P<close> ?~| ?[-–—]| ?\]|)$")
-NUMBERED = re.compile(r"^(?:(?P<left>\d{1,5})\s{2,}(?P<a>\S.*)|(?P<b>\S.*?)\s{2,}(?P<right>\d{1,5}))$")
+NUMBER = re.compile(r"^(?P<open>~ ?|[-–—] ?|\[ ?|\( ?|p\. ?|page |Page |S\. ?)?(?P<n>\d+)(?P<close> ?~| ?[-–—]| ?\]|)$")
+NUMBERED = re.compile(r"^(?:(?P<left>\d+)\s{2,}(?P<a>\S.*)|(?P<b>\S.*?)\s{2,}(?P<right>\d+))$")
 ROMAN = re.compile(r"^(?:[~\[(–—-] ?|p\. ?|page )?(?P<n>[ivxlcdm]{1,9})(?: ?[~\])–—-])?$", re.I)
 CHAPTER = re.compile(r"^(?:chapter|kapitel|chapitre|part|section)\s+(?:\d+|[ivxlc]+)$", re.I)
 #: What the characters of old type and ligatures mean (fixed values).
@@ -52,7 +52,8 @@ CONFUSED = [
     ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("w", "vv"), ("ii", "n"), ("ii", "u"), ("li", "h"), ("nn", "m"), ("in", "m"), ("l", "i"), ("i", "l"), ("l", "t"), ("t", "l"), ("e", "c"), ("c", "e"), ("h", "b"), ("b", "h"), ("u", "n"), ("n", "u"), ("f", "s"), ("f", "t"), ("t", "f"),
     ("a", "o"), ("o", "a"), ("o", "e"), ("e", "o"), ("y", "v"), ("v", "y"), ("g", "q"), ("q", "g"), ("r", "n"), ("j", "i"), ("i", "j"), ("u", "ii"), ("h", "li"), ("d", "ol"), ("ri", "n"), ("tl", "d"), ("ä", "a"), ("a", "ä"), ("ö", "o"), ("o", "ö"), ("ü", "u"), ("u", "ü"), ("fi", "h"), ("k", "lc"), ("lc", "k"),
 ]
-LETTERS = "abcdefghijklmnopqrstuvwxyzäöüß"
+#: Names of files and addresses: no words of the text.
+NAME = re.compile(r"\S*\w\.\w+\.\w\S*")
 #: A word of body text with its signs off, for misreadings; digits and the signs above may stand inside.
 BODY_WORD = re.compile(r"[^\W_]*[^\W\d_][^\W_]*(?:[|!$@�̀-ͯ]+[^\W_]+)*�?|�[^\W_]+(?:�[^\W_]*)*")
 FORMULA = re.compile(r"^\d*[a-zA-Z]\d*$|^\d+(?:st|nd|rd|th|er|e)$|^v\d+$", re.I)
@@ -166,7 +167,7 @@ class Page:
                 out.add(i)
                 if form > 1:
                     known.append((i, form - 2))
-            elif len(s) <= 80 and s[-1] not in ".!?,;:" + SOFT and s[-1] not in "-=+<>*" and s[0].isupper():
+            elif s[-1] not in ".!?,;:" + SOFT and s[-1] not in "-=+<>*" and s[0].isupper():
                 if self.splits_word(i):
                     out.add(i)
                 else:
@@ -185,9 +186,12 @@ class Page:
             if (again and (titled or self.inside(i, out) or self.edge(i))) or (titled and (len(self.bare[i]) < 0.75 * self.width or self.edge(i) or self.inside(i, out) or self.apart(i, out))):
                 out.add(i)
         # page numbers: those that go on with the sequence, or break a paragraph
+        first: dict[int, int] = {}
+        last: dict[int, int] = {}
+        for i, n in known + plain:
+            first[n], last[n] = min(i, first.get(n, i)), max(i, last.get(n, i))
         for i, n in plain:
-            near = [(j, v) for j, v in known + plain if j != i and v != n]
-            follows = any((v - n) * (j - i) > 0 and abs(v - n) == 1 and abs(j - i) >= 4 for j, v in near)
+            follows = first.get(n - 1, i) <= i - 4 or last.get(n + 1, i) >= i + 4
             if follows or self.inside(i, out):
                 out.add(i)
         return out
@@ -271,6 +275,8 @@ def title_form(s: str) -> bool:
 class Vocabulary:
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
+        #: What the replacement character may stand for: all letters with two cases.
+        self.letters = sorted({c for word in counts for c in word if c.lower() != c.upper()})
         self.memory: dict[str, str | None] = {}
 
     def known(self, word: str) -> int:
@@ -321,8 +327,7 @@ class Vocabulary:
             return None
         return low
 
-    @staticmethod
-    def exchange(word: str) -> set[str]:
+    def exchange(self, word: str) -> set[str]:
         out = set()
         for a, b in CONFUSED:
             at = word.find(a)
@@ -331,7 +336,7 @@ class Vocabulary:
                 at = word.find(a, at + 1)
         at = word.find("�")
         if at >= 0:
-            out |= {word[:at] + c + word[at + 1 :] for c in LETTERS}
+            out |= {word[:at] + c + word[at + 1 :] for c in self.letters}
         return out
 
     def misread(self, word: str) -> bool:
@@ -371,8 +376,8 @@ def classify(text: str, vocabulary: Vocabulary) -> tuple[Page, dict[int, tuple[s
             judge_halves(a, b, i, j, vocabulary, misread)
         if i in starts:
             s = s[len(starts[i]) :]
-        if page.strip[i].startswith("notes.") or ".txt" in s:
-            s = re.sub(r"\S+\.v\d+\.\w+", " ", s)
+        if "." in s:
+            s = NAME.sub(" ", s)
         for word in BODY_WORD.findall(s):
             word = word.rstrip("!|$@")
             if vocabulary.misread(word):
@@ -422,8 +427,16 @@ def vocabulary_of(texts: DataFrame) -> dict[str, int]:
     """Words with their counts in texts (text STRING), without the rarest."""
     ship(texts.sparkSession)
     counts = materialize(texts.where("text is not null").mapInArrow(count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "p4-words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = counts.where((F.col("n") >= 2) & (F.col("n") >= RARE * total)).toArrow()
+    # how many words there are of each number of occurrences, to two digits: a few hundred rows
+    step = F.pow(F.lit(10.0), F.floor(F.log10("n")) - 1)
+    often = counts.where("n >= 2").groupBy(F.when(F.col("n") < 100, F.col("n")).otherwise((F.floor(F.col("n") / step) * step).cast("bigint")).alias("least")).count().collect()
+    least, room = 2, WORDS
+    for row in sorted(often, key=lambda r: -r["least"]):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["least"]
+    kept = counts.where(F.col("n") >= (least if room < 0 else 2)).toArrow()
     return dict(zip(kept["word"].to_pylist(), kept["n"].to_pylist()))
 
 

@@ -1,6 +1,7 @@
 """Problems 4, 6, 8 and 10: scans, markup, tokens, sentences."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -273,3 +274,26 @@ def test_sentence_edges(spark):
     assert len(P10.sentence_ends("It ends here. " * 3000)) == 3000
     df = spark.createDataFrame([(1, "A b. C d."), (2, None), (3, " "), (1, "A b. C d.")], "doc_id bigint, text string")
     assert sorted(tuple(r) for r in P10.sentences(df).collect()) == sorted([(1, 0, 1, 4), (1, 1, 6, 9)] * 2)
+
+
+def test_many_number_lines_take_linear_time():
+    took = []
+    for n in (4_000, 8_000):
+        text = "\n".join(f"{k % 977}\nsome words of the body stand here and go on" for k in range(n))
+        began = time.perf_counter()
+        P4.Page(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 3.5 * took[0] + 0.3
+
+
+def test_vocabulary_keeps_the_most_frequent_words(spark, monkeypatch):
+    texts = spark.createDataFrame([(" ".join(f"w{chr(97 + k)}" for k in range(26) for _ in range(k + 1)),)], "text string")
+    assert set(P4.vocabulary_of(texts)) == {f"w{chr(97 + k)}" for k in range(1, 26)}
+    monkeypatch.setattr(P4, "WORDS", 5)
+    assert set(P4.vocabulary_of(texts)) == {f"w{chr(97 + k)}" for k in range(21, 26)}
+    assert P4.vocabulary_of(texts.limit(0)) == {}
+
+
+def test_replacement_characters_of_other_scripts():
+    vocabulary = P4.Vocabulary({"слово": 3, "θέμα": 3})
+    assert vocabulary.meant("сло\ufffdо") == "слово" and vocabulary.meant("θέ\ufffdα") == "θέμα"
