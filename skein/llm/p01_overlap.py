@@ -31,11 +31,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.tables import folded, table
+from skein.llm.tables import expand, folded, table
 from skein.session import materialize
 
 #: Words of one class in so many have a counted rank.
 HEAD = 2000
+#: Words with a rank that are broadcast at most.
+BROADCAST = 500_000
 #: Least number of words and numbers of a completion.
 LEAST_COMPLETION = 25
 #: Marks that group the digits of a number by thousands (fixed values).
@@ -51,13 +53,18 @@ def words(text: Column) -> Column:
     return F.sort_array(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)))
 
 
+def wide(*columns: Column | str) -> Column:
+    """Two hashes of 64 bits with different seeds: equal only for equal values, in a collection of any size."""
+    return F.struct(F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit("again"), *columns).alias("g"))
+
+
 def texts(records: DataFrame) -> DataFrame:
-    """id, train, field, text, key (hash of the field and the numbers): one row per text."""
+    """id, train, field, text, key (128 bits of the field and the numbers): one row per text."""
     sides = records.select(F.col("example_id").alias("id"), folded(F.col("split")).alias("split"), "prompt", "completion")
     sides = sides.where("id is not null and split is not null and split <> ''")
     fields = F.inline(F.array(F.struct(F.lit(0).alias("field"), F.col("prompt").alias("text")), F.struct(F.lit(1).alias("field"), F.col("completion").alias("text"))))
     rows = sides.select("id", (F.col("split") == "train").alias("train"), fields).where("text is not null")
-    return rows.withColumn("key", F.xxhash64("field", numbers(F.col("text"))))
+    return rows.withColumn("key", wide("field", numbers(F.col("text"))))
 
 
 def overlap_pairs(records: DataFrame) -> DataFrame:
@@ -67,17 +74,21 @@ def overlap_pairs(records: DataFrame) -> DataFrame:
     near = rows.join(shared, "key", "left_semi").select("id", "train", "field", "key", words(F.col("text")).alias("words"), F.size(numbers(F.col("text"))).alias("n_numbers"))
     size = F.col("n_numbers") + F.size("words")
     near = near.where((size >= LEAST_COMPLETION) | ((F.col("field") == 0) & (size > 0)))
-    near = near.withColumn("cls", F.xxhash64("key", "words"))
+    near = near.withColumn("cls", wide("key", "words"))
     near = materialize(near, "p1-texts")
     members = near.select("cls", "id", "train").distinct()
 
     # first() may take any row: those of a class are equal in all these columns
     classes = near.groupBy("cls").agg(F.first("key").alias("key"), F.first("words").alias("words"), F.max("train").alias("t"), F.min("train").alias("e"))
-    shingle = F.expr("transform(words, (w, i) -> struct(w, i - array_position(words, w) + 1 as again))")
+    # the words are sorted, so those of a kind stand together: where they begin tells how many there are, in one pass
+    classes = classes.withColumn("begins", F.expr("filter(transform(words, (w, i) -> if(i = 0 or w <> get(words, i - 1), i, null)), i -> i is not null)"))
+    shingle = F.expr("flatten(transform(begins, (s, r) -> transform(sequence(1, coalesce(get(begins, r + 1), size(words)) - s), k -> struct(get(words, s) as w, k as again))))")
     tokens = classes.select("cls", "key", "t", "e", F.explode_outer(shingle).alias("s")).select("cls", "key", "t", "e", "s.w", F.xxhash64("s.w", "s.again").alias("h"))
-    many = near.agg(F.countDistinct("cls")).first()[0]
-    head = tokens.where("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") * HEAD >= many)
-    ordered = tokens.join(F.broadcast(head), "w", "left").groupBy("cls").agg(
+    many = near.select("cls").distinct().count()
+    head = materialize(tokens.where("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") * HEAD >= many), "p1-head")
+    if head.count() <= BROADCAST:
+        head = F.broadcast(head)
+    ordered = tokens.join(head, "w", "left").groupBy("cls").agg(
         F.first("key").alias("key"), F.first("t").alias("t"), F.first("e").alias("e"),
         F.sort_array(F.collect_list(F.when(F.col("w").isNotNull(), F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h")))).getField("h").alias("sh"),
     )
@@ -97,9 +108,10 @@ def overlap_pairs(records: DataFrame) -> DataFrame:
     checked = pairs.join(sets.select(F.col("cls").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("sh").alias("y")), "b")
     matched = checked.where("7 * size(array_intersect(x, y)) >= 3 * (size(x) + size(y))").select("a", "b")
 
-    evals = members.where("not train").select(F.col("cls").alias("a"), F.col("id").alias("eval_id"))
-    trains = members.where("train").select(F.col("cls").alias("b"), F.col("id").alias("train_id"))
-    return matched.join(evals, "a").join(trains, "b").where("eval_id <> train_id").select("eval_id", "train_id").distinct()
+    evals = members.where("not train").select(F.col("cls").alias("a"), F.col("id").alias("x"))
+    trains = members.where("train").select(F.col("cls").alias("b"), F.col("id").alias("y"))
+    pairs = expand(matched, evals, trains).where("x <> y")
+    return pairs.select(F.col("x").alias("eval_id"), F.col("y").alias("train_id")).distinct()
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

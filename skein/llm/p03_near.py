@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.tables import table
+from skein.llm.tables import expand, table
 from skein.llm.textwork import U, WordIds, Words, mix, plain_words, shingles, whole
 from skein.session import materialize, release, ship
 
@@ -475,12 +475,9 @@ def near_classes(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataF
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, links = near_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
-    members = members.where("doc_id is not null").select("doc_id", "rep")
-    between = links.select("a", "b").join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").select("x", "y")
-    shared = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep")
-    copies = members.join(shared, "rep", "left_semi")
-    within = copies.toDF("rep", "x").join(copies.toDF("rep", "y"), "rep").where("x < y").select("x", "y")
-    both = between.unionByName(within)
+    copies = members.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
+    members = members.select("rep", "doc_id")
+    both = expand(links.select("a", "b").unionByName(copies), members.toDF("a", "x"), members.toDF("b", "y")).where("a <> b or x < y")
     return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).where("doc_id_a <> doc_id_b").distinct()
 
 

@@ -14,3 +14,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def folded(column: Column) -> Column:
     """Without blanks around it, in lower case."""
     return F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", ""))
+
+
+#: Members of a class that meet in one piece.
+SPLIT = 1000
+
+
+def expand(links: DataFrame, left: DataFrame, right: DataFrame, split: int = SPLIT) -> DataFrame:
+    """links: a, b; left: a, x; right: b, y. Returns a, b, x, y: all members of linked classes.
+
+    A class of more than ``split`` members is dealt to blocks by a hash, and every pair of blocks meets on its own, so a
+    class that holds a third of all rows is no single task.
+    """
+
+    def dealt(members: DataFrame, key: str, member: str, block: str) -> tuple[DataFrame, DataFrame]:
+        large = members.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select(key, F.ceil(F.col("n") / split).cast("bigint").alias("blocks"))
+        rows = members.join(large, key, "left").select(key, member, F.coalesce(F.pmod(F.xxhash64(F.col(member)), F.col("blocks")), F.lit(0)).alias(block))
+        return large, rows
+
+    for members, key, member, block in ((left, "a", "x", "i"), (right, "b", "y", "j")):
+        large, rows = dealt(members, key, member, block)
+        links = links.join(large, key, "left").withColumn(block, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+        links = links.join(rows, [key, block]).drop(block)
+    return links.select("a", "b", "x", "y")

@@ -7,6 +7,7 @@ from collections import Counter
 
 from skein.llm import p01_overlap as P1
 from skein.llm import p02_leaks as P2
+from skein.llm.tables import expand
 
 SFT = "example_id bigint, split string, source string, family string, prompt string, completion string, built_at timestamp"
 
@@ -51,6 +52,22 @@ def test_hot_class_is_expanded_whole(spark):
     assert P1.overlap_pairs(spark.createDataFrame(rows, SFT)).count() == 270 * 30
 
 
+def test_classes_are_expanded_in_blocks(spark):
+    links = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a bigint, b bigint")
+    members = [(1, k) for k in range(50)] + [(2, 100 + k) for k in range(7)] + [(3, 200)]
+    left, right = spark.createDataFrame(members, "a bigint, x bigint"), spark.createDataFrame(members, "b bigint, y bigint")
+    want = {(a, b, x, y) for a, b in ((1, 2), (1, 3), (2, 3)) for c, x in members if c == a for d, y in members if d == b}
+    for split in (3, 1000):
+        got = [tuple(r) for r in expand(links, left, right, split).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_long_texts_of_few_words(spark):
+    long = " ".join(f"w{'abc'[k % 3]}" for k in range(60_000))
+    rows = [(1, "train", "s", "f", long, None, None), (2, "test", "s", "f", long + " wa wd", None, None), (3, "test", "s", "f", "wa wb wc", None, None)]
+    assert [tuple(r) for r in P1.overlap_pairs(spark.createDataFrame(rows, SFT)).collect()] == [(2, 1)]
+
+
 def pairs(documents, items):
     return {(r["doc_id"], r["item_id"]) for r in P2.containment(documents, items).collect()}
 
