@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.ordered import running_sum
+
 #: Wordings and names of the places, from the units on (fixed values).
 PREFIXES = ["Compute", "Find", "Evaluate", "Calculate", "Work out"]
 PROOF_PREFIXES = ["Prove that", "Show that", "Explain why"]
@@ -61,7 +63,8 @@ def parity_proofs(spark: SparkSession, variables: list[str]) -> DataFrame:
 
 
 def place(i: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(p) for p in PLACES]), i.cast("int") + 1)
+    """Name of a place; beyond the named ones the power of ten."""
+    return F.coalesce(F.get(F.array(*[F.lit(p) for p in PLACES]), i), F.concat(F.lit("10^"), i.cast("string")))
 
 
 def digits_reversed(n: Column) -> Column:
@@ -123,18 +126,17 @@ def divide_trace(a: Column, b: Column) -> Column:
 def partial_products(a: Column, b: Column) -> Column:
     """The place-value products of two numbers, as text in the order of the digits from the units."""
     da, db = digits_reversed(a), digits_reversed(b)
-    ten = lambda i: F.pow(F.lit(10.0), i).cast("bigint")
+    zeros = lambda n, i: F.concat(n.cast("string"), F.repeat(F.lit("0"), i))
     pairs = F.flatten(F.transform(da, lambda x, i: F.transform(db, lambda y, j: F.struct(x.alias("x"), y.alias("y"), i.alias("i"), j.alias("j")))))
     pairs = F.filter(pairs, lambda p: (p["x"] > 0) & (p["y"] > 0))
-    text = lambda p: F.concat((p["x"] * ten(p["i"])).cast("string"), F.lit(" * "), (p["y"] * ten(p["j"])).cast("string"), F.lit(" = "), (p["x"] * p["y"] * ten(p["i"] + p["j"])).cast("string"))
+    text = lambda p: F.concat(zeros(p["x"], p["i"]), F.lit(" * "), zeros(p["y"], p["j"]), F.lit(" = "), zeros(p["x"] * p["y"], p["i"] + p["j"]))
     return F.array_join(F.transform(pairs, text), "; ")
 
 
 def tile(pool: DataFrame, count: int, order: str) -> DataFrame:
-    """``count`` rows: row i is row i % n of the pool in order. The pool is a bounded list of exercises, as it comes from the generators here."""
-    indexed = pool.groupBy().agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in pool.columns if c != order]))).alias("rows"))
-    n = pool.count()
-    base = indexed.select(F.posexplode("rows").alias("__k", "r")).select("__k", "r.*")
+    """``count`` rows: row i is row i % n of the pool in the total order of ``order``."""
+    base = running_sum(pool.withColumn("__g", F.lit(0)), ["__g"], [F.col(order)], F.lit(1), "__k").drop("__g")
+    n = base.count()
     rows = pool.sparkSession.range(count).toDF("i")
     return rows.join(base, F.col("i") % n == F.col("__k")).drop("__k")
 

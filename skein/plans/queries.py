@@ -427,12 +427,12 @@ def norm_answer(spark, sf):
 
 @query
 def extract_final(spark, sf):
-    return table(spark, sf, "sft_examples").where("completion is not null").select("example_id", S.extract_final(F.col("completion")).alias("final")).distinct()
+    return table(spark, sf, "sft_examples").where("completion is not null").select("example_id", S.final_line(F.col("completion")).alias("final")).distinct()
 
 
 @query
 def chat_answer(spark, sf):
-    return answers(spark, sf).select("item_id", S.chat_answer(F.col("completion")).alias("answer"))
+    return answers(spark, sf).select("item_id", S.chat_observed(F.col("completion")).alias("answer"))
 
 
 @query
@@ -449,7 +449,7 @@ def observed_number(spark, sf):
 
 def scored(spark, sf):
     """Held-out answers: those of two of three items as they are, the others changed."""
-    observed = F.when(F.col("item_id") % 3 == 0, F.concat(F.col("expected"), F.lit("0"))).otherwise(S.chat_answer(F.col("completion")))
+    observed = F.when(F.col("item_id") % 3 == 0, F.concat(F.col("expected"), F.lit("0"))).otherwise(S.chat_observed(F.col("completion")))
     return answers(spark, sf).select("item_id", "family", "suite", S.is_hit(F.col("expected"), observed).alias("hit"))
 
 

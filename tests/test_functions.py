@@ -86,14 +86,14 @@ def test_answers(spark):
     assert value(spark, S.extract_boxed(F.col("t")), t="so \\boxed{\\frac{7}{4}} ok") == "\\frac{7}{4}"
     assert value(spark, S.extract_boxed(F.col("t")), t="\\boxed{1 + {2}") == "1 + {2}"
     assert value(spark, S.extract_boxed(F.col("t")), t="none") is None
-    assert value(spark, S.extract_final(F.col("t")), t="Final answer: 3\nfinal answer: 4 <end>") == "4"
-    assert value(spark, S.chat_answer(F.col("t")), t="Answer: Answer: 55.") == "55"
-    assert value(spark, S.chat_answer(F.col("t")), t="it is 1,234 or 5/6") == "5/6"
-    assert value(spark, S.chat_answer(F.col("t")), t="a\nlast ") == "last"
+    assert value(spark, S.final_line(F.col("t")), t="Final answer: 3\nfinal answer: 4 <end>") == "4"
+    assert value(spark, S.chat_observed(F.col("t")), t="Answer: Answer: 55.") == "55"
+    assert value(spark, S.chat_observed(F.col("t")), t="it is 1,234 or 5/6") == "5/6"
+    assert value(spark, S.chat_observed(F.col("t")), t="a\nlast ") == "last"
     assert value(spark, S.observed_number(F.col("t")), t="5 kg/m^3") == "5"
     assert value(spark, S.observed_number(F.col("t"), exponents=False), t="5 kg/m^3") == "3"
     assert value(spark, S.observed_number(F.col("t")), t="26 + 99 = 125") == "125"
     assert value(spark, S.eval_hit(F.col("e"), F.col("o")), e="636", o="6 36 or 7") is True
     assert value(spark, S.eval_hit(F.col("e"), F.col("o")), e="n^2 is even", o="So n^2 is  EVEN") is True
-    assert value(spark, S.eval_answer(F.col("t")), t="Therefore the answer is 12.") == "12"
+    assert value(spark, S.judged_answer(F.col("t")), t="Therefore the answer is 12.") == "12"
     assert value(spark, S.extract_code(F.col("t"), "f"), t="x\n```python\ndef f(a):\n    return a\n```\nProblem: y").startswith("def f(a):\n    return a")

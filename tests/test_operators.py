@@ -1,4 +1,10 @@
+import os
+import sys
+from types import SimpleNamespace
+from urllib.parse import urldefrag, urljoin
+
 import pytest
+import __spark_entry__
 from pyspark.sql import functions as F
 
 from skein.operators import catalog as K
@@ -8,7 +14,8 @@ from skein.operators import orchestrate as O
 from skein.operators import scoring as S
 from skein.operators import shards as H
 from skein.operators import web as W
-from skein.operators.ordered import running_sum
+from skein.operators.ordered import first_of, running_sum, running_sums
+from skein.session import materialize, release, shared_dir
 
 
 def test_running_sum_over_one_large_group(spark):
@@ -116,3 +123,62 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, source string, license string, source_type string, text string")
     assert U.features(none).count() == 0 and U.reasons_science(none).count() == 0
     assert H.token_shards(spark.createDataFrame([], "doc_id bigint, n_tokens bigint"), 4, [F.col("doc_id")]).count() == 0
+
+
+def test_references_resolve_as_in_the_standard(spark):
+    bases = ["https://x.org/p/a?z=1", "https://x.org", "https://x.org/", "http://h.org/a/b/c/d;p?q#f", "https://x.org/a//b/"]
+    refs = ["?q=2", "../b", "./d", "b", "/b/../c", "//h.org/x?y", "https://o.org/a#f", "../../../g", "g/./h/../i", ".", "..", "g?y#s", "/", "a b", "x//y", "b/"]
+    df = spark.createDataFrame([(b, r) for b in bases for r in refs], "base string, ref string")
+    for row in df.select("base", "ref", W.resolved(F.col("base"), F.col("ref")).alias("got")).collect():
+        assert row["got"] == urldefrag(urljoin(row["base"], row["ref"]))[0], row
+    page = spark.createDataFrame([("https://x.org/p/", "<a href=' q?a=1&amp;b=2 '>x</a> <a class=c href=\"&#47;r\">y</a>")], "url string, html string")
+    assert [r["link"] for r in W.links(page).orderBy("pos").collect()] == ["https://x.org/p/q?a=1&b=2", "https://x.org/r"]
+
+
+def test_first_of_keeps_rows_without_key(spark):
+    df = spark.createDataFrame([(1, "a", "k"), (2, "a", "k"), (3, "b", None), (4, None, "k"), (5, None, "m")], "doc_id bigint, source string, k string")
+    got = {r["doc_id"]: r["is_first"] for r in first_of(df, "k", ["source", "doc_id"]).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: True, 5: True}  # nulls order first
+
+
+def test_several_running_sums(spark):
+    df = spark.range(50).select("id", F.lit("g").alias("g"))
+    rows = running_sums(df, ["g"], [F.col("id")], {"n": F.lit(1), "s": F.col("id")}).collect()
+    assert {(r["id"], r["n"], r["s"]) for r in rows} == {(i, i, i * (i - 1) // 2) for i in range(50)}
+
+
+def test_traces_of_long_numbers(spark):
+    a, b = 999_999_999_999_999, 2
+    row = spark.range(1).select(G.add_trace(F.lit(a), F.lit(b)).alias("t"), G.partial_products(F.lit(900_000_000_000_000_003), F.lit(9_000_000_000_000_000_007)).alias("p")).first()
+    assert row["t"].endswith("; the digits give 1000000000000001") and "10^14: 9 + 0 + 1 carried = 10" in row["t"]
+    assert "900000000000000000 * 9000000000000000000 = 8100000000000000000000000000000000000" in row["p"]
+
+
+@pytest.mark.parametrize("e,o,want", [
+    ("3.14159265", "3.141592650", True), ("1234567890123456789", "1,234,567,890,123,456,789", True), ("12345678901234567891", "12345678901234567890", False), ("0.12345678", "12345678/100000000", True),
+    ("1/3", "0.333333333333333333333", False), ("2", "x = 2.", True), ("-0", "0", True), ("007", "7", True), ("1/0", "1/0", True), ("1/0", "2/0", False), ("10", "1e1", True), ("1", "1e99999999", False), ("12345678901234.5", "12345678901234.50", True), ("\\frac{3}{6}", "1/2", True), ("5", None, False),
+])
+def test_exact_hits(spark, e, o, want):
+    df = spark.createDataFrame([(e, o)], "e string, o string")
+    assert df.select(S.is_hit(F.col("e"), F.col("o"))).first()[0] is want
+
+
+def test_entry_without_the_subpackage(monkeypatch):
+    monkeypatch.setitem(sys.modules, "skein.llm.queries", None)
+    assert "mixture_sample" in __spark_entry__.queries() and not any(k.startswith("p1_") for k in __spark_entry__.queries())
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_intermediate_tables_are_removed(spark, tmp_path):
+    df = materialize(spark.range(3).toDF("x"), "t")
+    assert df.count() == 3
+    path = df._skein_path.removeprefix("file://").removeprefix("file:")
+    assert os.path.exists(path)
+    release(spark, df)
+    assert not os.path.exists(path)
+
+
+def test_no_local_folder_on_a_cluster():
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)

@@ -36,4 +36,5 @@ def test_query(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    df = QUERIES[name](spark, SF)
+    assert df.columns and df.count() >= 0
