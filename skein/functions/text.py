@@ -67,6 +67,43 @@ def decode_bytes(c: Column) -> Column:
     return F.when(F.is_valid_utf8(c.cast("string")), F.decode(c, "UTF-8")).otherwise(F.decode(c, "ISO-8859-1"))
 
 
+@F.pandas_udf(StringType())
+def decode_wide(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """UTF-16 where the bytes are valid, else Latin-1; only contents that aren't UTF-8 need it."""
+
+    def one(data: bytes) -> str:
+        try:
+            return data.decode("utf-16")
+        except UnicodeDecodeError:
+            return data.decode("latin-1")
+
+    for part in contents:
+        yield part.map(lambda data: one(data) if isinstance(data, (bytes, bytearray)) else None)
+
+
+def decode_payload(c: Column) -> Column:
+    """UTF-8, else UTF-16, else Latin-1: the first in which the bytes are valid."""
+    valid = F.is_valid_utf8(c.cast("string"))
+    return F.when(valid, F.decode(c, "UTF-8")).otherwise(decode_wide(F.when(~valid, c)))
+
+
+def extracted(text: Column, source_type: Column, path: Column) -> Column:
+    """Clean text by the type of a source or the suffix of its file; null for PDF, which another program has to read."""
+    suffix = F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1))
+    kind = F.coalesce(F.when((source_type == "pdf") | (suffix == ".pdf"), "pdf").when((source_type == "html") | suffix.isin(".html", ".htm"), "html").when((source_type == "xml") | (suffix == ".xml"), "xml"), F.lit("text"))
+    marked = unescape_html(F.when(kind == "html", strip_html(text)).when(kind == "xml", F.regexp_replace(text, r"<[^>]+>", " ")))
+    return F.when(kind == "pdf", None).when(kind.isin("html", "xml"), normalize(marked)).otherwise(normalize(text))
+
+
+def payload_digest(c: Column) -> Column:
+    return F.sha2(c, 256)
+
+
+def perplexity(loss: Column) -> Column:
+    """Of a mean loss, which counts as 20 at most."""
+    return F.exp(F.least(F.lit(20.0), loss))
+
+
 def token_estimate(c: Column) -> Column:
     """A quarter of the characters, at least 1; 0 for the empty text."""
     return F.when(F.length(c) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(c) / 4))).cast("bigint")

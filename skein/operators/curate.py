@@ -20,8 +20,11 @@ def with_buckets(docs: DataFrame, mixture: DataFrame) -> DataFrame:
     return out.join(least, "bucket", "left").withColumn("min_quality", F.coalesce("min_quality", F.lit(0.5)))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, source, license, source_type, text. The features of the readable documents, written once: all later steps read these narrow rows."""
+def features(docs: DataFrame, kinds: bool = False) -> DataFrame:
+    """docs: doc_id, source, license, source_type, text. The features of the readable documents, written once: all later steps read these narrow rows.
+
+    ``kinds``: with format, level and topic, which only reports need.
+    """
     text, source = F.col("text"), F.col("source")
     docs = docs.where("text is not null").withColumn("own", words_of(text))
     out = docs.withColumns(
@@ -30,8 +33,14 @@ def features(docs: DataFrame) -> DataFrame:
             "extraction": Q.extraction_score(text), "repeated": Q.repetition(text), "dkey": duplicate_key(text), "n_tokens": token_estimate(text),
         }
     )
+    extra = []
+    if kinds:
+        counts = C.topic_counts("math", text, F.col("own"))
+        out = out.withColumns({f"__{n}": c for n, c in counts.items()} | {"format": C.format_of(source, F.col("source_type")), "level": C.level_of(source, text)})
+        out = out.withColumn("topic", C.topic_of("math", {n: F.col(f"__{n}") for n in counts}))
+        extra = [f"__{n}" for n in counts]
     score = Q.quality_v2(source, F.col("family"), text, F.col("math_density"), F.col("symbol_density"), F.col("extraction"), F.col("repeated"), F.col("confidence"))
-    return materialize(out.withColumn("quality", score).drop("text", "own"), "features")
+    return materialize(out.withColumn("quality", score).drop("text", "own", *extra), "features")
 
 
 def reasons_v2(featured: DataFrame, mixture: DataFrame, excluded: list[str]) -> DataFrame:
@@ -72,6 +81,7 @@ def budgeted_sample(eligible: DataFrame, mixture: DataFrame, total: int, seed: i
 
 def split_off(df: DataFrame, share: float, seed: int = 7, key: str = "doc_id") -> DataFrame:
     """Adds split: the first max(1, int(n * share)) rows in the order of a hash are val, the others train."""
+    df = materialize(df, "to-split")
     n = df.count()
     k = max(1, int(n * share))
     order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
@@ -79,6 +89,36 @@ def split_off(df: DataFrame, share: float, seed: int = 7, key: str = "doc_id") -
     return ranked.withColumn("split", F.when(F.col("__rank") < k, "val").otherwise("train")).drop("__h", "__g", "__rank")
 
 
+def domain_rows(catalog: DataFrame, docs: DataFrame, sources: list[str]) -> DataFrame:
+    """Catalog rows with status ok of the given sources, with their text where it can be read. catalog: doc_id, source_name, status; docs: doc_id, catalog_id, text; of several texts of a catalog row the one with the greatest doc_id counts."""
+    rows = catalog.where((F.col("status") == "ok") & F.col("source_name").isin(*sources))
+    texts = docs.where("catalog_id is not null").groupBy(F.col("catalog_id").alias("doc_id")).agg(F.max_by("text", F.col("doc_id")).alias("text"))
+    return rows.join(texts, "doc_id", "left")
+
+
+def domain_judged(rows: DataFrame, domain: str) -> DataFrame:
+    """rows: doc_id, source (its name), text, token_estimate. doc_id, source, reason, family, topic, token_estimate of a domain's documents."""
+    judge = reasons_code if domain == "code" else reasons_science
+    reasons = judge(rows.select("doc_id", "source", "text")).select("doc_id", "reason")
+    text = F.col("text")
+    counts = C.topic_counts(domain, text, F.col("own"))
+    kinds = rows.where("text is not null").withColumn("own", words_of(text)).select("doc_id", *[c.alias(f"__{n}") for n, c in counts.items()])
+    kinds = kinds.select("doc_id", C.topic_of(domain, {n: F.col(f"__{n}") for n in counts}).alias("topic"))
+    family = C.code_family(F.col("source")) if domain == "code" else C.science_family(F.col("source"), domain == "chemistry")
+    return rows.select("doc_id", "source", "token_estimate").join(reasons, "doc_id").join(kinds, "doc_id", "left").withColumn("family", family)
+
+
+def domain_report(judged: DataFrame) -> DataFrame:
+    """dimension, value, n_documents, n_tokens: documents by reason, and of the kept ones documents and tokens by family and topic."""
+    count, tokens = F.count(F.lit(1)).alias("n_documents"), F.coalesce(F.sum("token_estimate"), F.lit(0)).cast("bigint").alias("n_tokens")
+    reasons = judged.groupBy(F.col("reason").alias("value")).agg(count, tokens).select(F.lit("reason").alias("dimension"), "value", "n_documents", "n_tokens")
+    kept = judged.where("reason = 'kept'")
+    out = reasons
+    for by in ("family", "topic"):
+        out = out.unionByName(kept.groupBy(F.col(by).alias("value")).agg(count, tokens).select(F.lit(by).alias("dimension"), "value", "n_documents", "n_tokens"))
+    return out
+
+
 def report(selected: DataFrame) -> DataFrame:
     """Documents and tokens by bucket, topic and format, as grouping sets in one pass."""
     sets = selected.groupingSets([["bucket"], ["topic"], ["format"]], "bucket", "topic", "format").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").cast("bigint").alias("n_tokens"))

@@ -60,3 +60,8 @@ def execute(plan: Column, answer: Callable[[Column, Column, Column], Column] = e
 
     finish = lambda end: F.struct(F.when(end["ok"], F.try_element_at(end["values"], F.lit(-1))).alias("answer"), end["ok"].alias("ok"))
     return F.when(plan.isNotNull(), F.aggregate(plan["steps"], start, step, finish))
+
+
+def routed(plan: Column, least: int = 2) -> Column:
+    """Whether a problem is taken apart: it has a plan of ``least`` steps or more."""
+    return F.coalesce(F.size(plan["steps"]), F.lit(0)) >= least

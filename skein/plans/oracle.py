@@ -135,10 +135,10 @@ SELECTED = f"""(SELECT * FROM (SELECT p.*, floor(total * target_fraction)::BIGIN
     FROM (SELECT *, sum(n_tokens) OVER () // 2 AS total FROM {JUDGED} WHERE reason = 'ok') p JOIN mixture_spec USING (bucket)) WHERE tokens_before < bucket_target)"""
 
 
-def gate(short: int, extra: str = "") -> str:
+def gate(short: int, extra: str = "", rows: str = "documents") -> str:
     low = f"WHEN {extra} THEN 'low_structure'" if extra else ""
     return f"""SELECT doc_id, source, CASE WHEN text IS NULL THEN 'unreadable' WHEN length(text) < {short} THEN 'too_short' WHEN place > 1 THEN 'duplicate' {low} ELSE 'kept' END AS reason
-        FROM (SELECT *, row_number() OVER (PARTITION BY length(text) >= {short}, {key('text')} ORDER BY source, doc_id) AS place FROM documents)"""
+        FROM (SELECT *, row_number() OVER (PARTITION BY length(text) >= {short}, {key('text')} ORDER BY source, doc_id) AS place FROM {rows})"""
 
 
 STRUCTURE = rf"least(1e0, len(regexp_extract_all(text, '(?m)^[ \t]*(?:def |class |return |for |while |if |import |with |try:)')) / ({CHARS} / 400e0))"
@@ -275,3 +275,8 @@ ORACLE: dict[str, str] = {
     "parameter_count": """SELECT name, (h * vocab_size + n_layers * (2 * h * h + 2 * h * kv + 3 * h * intermediate_size + 2 * h) + h + CASE WHEN tie_embeddings THEN 0 ELSE h * vocab_size END)::BIGINT AS n_parameters
         FROM (SELECT *, hidden_size::BIGINT AS h, n_kv_heads::BIGINT * (hidden_size // n_heads) AS kv FROM model_configs)""",
 }
+
+
+from skein.plans.oracle_more import MORE  # noqa: E402 - it needs the parts above
+
+ORACLE |= MORE

@@ -133,7 +133,7 @@ def html_to_text(spark, sf):
 
 @query
 def xml_to_text(spark, sf):
-    return digest(texts(spark, sf).where("source_type = 'html'"), T.xml_to_text(F.col("text")))
+    return digest(texts(spark, sf), T.xml_to_text(F.col("text")))
 
 
 def page_table(spark, sf):
@@ -229,8 +229,8 @@ def science_densities(spark, sf):
     return worded(spark, sf).select("doc_id", Q.term_density(t, own, Q.PHYSICS_WORDS).alias("physics"), Q.term_density(t, own, Q.CHEMISTRY_WORDS).alias("chemistry"), Q.structure_density(t).alias("structure"), Q.code_extraction(t).alias("code_extraction"))
 
 
-def featured(spark, sf):
-    return U.features(documents(spark, sf))
+def featured(spark, sf, kinds=False):
+    return U.features(documents(spark, sf), kinds)
 
 
 @query
@@ -249,8 +249,8 @@ def first_wins(spark, sf):
     return first_of(keyed, "dkey", ["source", "doc_id"]).select("doc_id", "is_first")
 
 
-def judged(spark, sf):
-    return U.reasons_v2(featured(spark, sf), table(spark, sf, "mixture_spec"), EXCLUDED)
+def judged(spark, sf, kinds=False):
+    return U.reasons_v2(featured(spark, sf, kinds), table(spark, sf, "mixture_spec"), EXCLUDED)
 
 
 @query
@@ -280,8 +280,8 @@ def eligible_join(spark, sf):
     return catalog.join(features, "doc_id").select("doc_id", "source_name", "token_estimate", F.col("r.topic").alias("topic"), F.col("r.format").alias("format"))
 
 
-def selected(spark, sf):
-    ok = judged(spark, sf).where("reason = 'ok'").select("doc_id", "source", "bucket", "quality", "n_tokens")
+def selected(spark, sf, kinds=False):
+    ok = judged(spark, sf, kinds).where("reason = 'ok'").select("doc_id", "source", "bucket", "quality", "n_tokens", *(["topic", "format"] if kinds else []))
     total = ok.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] // 2
     return U.budgeted_sample(ok, table(spark, sf, "mixture_spec"), int(total))
 
@@ -299,10 +299,7 @@ def train_val_split(spark, sf):
 
 @query
 def curation_report(spark, sf):
-    counts = C.topic_counts("math", F.col("text"), F.col("own"))
-    kinds = worded(spark, sf).select("doc_id", C.format_of(F.col("source"), F.col("source_type")).alias("format"), *[c.alias(n) for n, c in counts.items()])
-    kinds = kinds.select("doc_id", "format", C.topic_of("math", {n: F.col(n) for n in counts}).alias("topic"))
-    return U.report(selected(spark, sf).select("doc_id", "bucket", "n_tokens").join(kinds, "doc_id"))
+    return U.report(selected(spark, sf, kinds=True))
 
 
 @query
@@ -525,3 +522,6 @@ def parameter_count(spark, sf):
 def top_p_tokens(spark, sf):
     logits = table(spark, sf, "events").select((F.col("user_id") % 500).alias("step"), F.col("event_id").alias("token"), F.col("value").alias("logit"))
     return S.top_p(logits, 20, 0.9).select("step", "token", F.col("rank").cast("bigint").alias("rank"))
+
+
+from skein.plans import queries_more  # noqa: E402, F401 - registers its queries
