@@ -68,18 +68,15 @@ def padded(array: Column, length: Column, filler: int) -> Column:
 
 
 def write_u32(tokens: DataFrame, path: str, split: str) -> None:
-    """tokens: shard_idx, tokens ARRAY<INT>. Writes headerless uint32 files ``split-00001.u32``, one per shard, to a path all executors share."""
+    """tokens: shard_idx, tokens ARRAY<INT>. Writes headerless uint32 files ``split-00001.u32``, one per shard, to a path all executors share, on any file system that Arrow knows."""
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+    from skein.sources.working import open_folder, put
 
-        os.makedirs(path, exist_ok=True)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = open_folder(path)
         for batch in batches:
             for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                name = f"{path}/{split}-{shard:05d}.u32"
-                with open(f"{name}.part-{os.getpid()}", "wb") as f:
-                    f.write(np.asarray(ids.values, dtype=np.uint32).tobytes())
-                os.replace(f"{name}.part-{os.getpid()}", name)
+                put(system, f"{folder}/{split}-{shard:05d}.u32", np.asarray(ids.values, dtype=np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["done"])
 
     tokens.select(F.col("shard_idx").cast("bigint"), "tokens").mapInArrow(write, "done bigint").count()

@@ -64,14 +64,14 @@ def allowed(url: Column, domains: list[str], prefixes: list[str] | None = None)
     return ok
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, depth: int, domains: list[str]) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, depth: int, domains: list[str], prefixes: list[str] | None = None, most: int | None = None) -> DataFrame:
     """pages: url, html; seeds: url. Returns url, depth: pages reached in at most ``depth`` steps over allowed links, each at its least depth.
 
-    One join per level against the pages and one anti-join against what was seen; nothing comes to the driver.
+    ``most``: only the first pages by depth and address.  One join per level against the pages and one anti-join against what was seen; nothing comes to the driver.
     """
-    edges = materialize(links(pages).where(allowed(F.col("link"), domains)).select("url", "link").distinct(), "crawl-edges")
+    edges = materialize(links(pages).where(allowed(F.col("link"), domains, prefixes)).select("url", "link").distinct(), "crawl-edges")
     known = pages.select("url").distinct()
-    level = materialize(seeds.where(allowed(F.col("url"), domains)).distinct().join(known, "url", "left_semi").withColumn("depth", F.lit(0)), "crawl-0")
+    level = materialize(seeds.where(allowed(F.col("url"), domains, prefixes)).distinct().join(known, "url", "left_semi").withColumn("depth", F.lit(0)), "crawl-0")
     seen = level
     for k in range(1, depth + 1):
         reached = edges.join(level.select("url"), "url").select(F.col("link").alias("url")).distinct()
@@ -79,4 +79,4 @@ def crawl(pages: DataFrame, seeds: DataFrame, depth: int, domains: list[str]) ->
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
-    return seen
+    return seen if most is None else seen.orderBy("depth", "url").limit(most)

@@ -122,6 +122,14 @@ MORE: dict[str, str] = {
     "payload_digest": f"SELECT doc_id, sha256(text) AS sha256, strlen(text)::BIGINT AS n_bytes FROM {B.TEXTS}",
     "orchestrator_self_test": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {EACH}::BIGINT, 0::BIGINT, 0::BIGINT)" for f in PHYSICS) + ") t(family, n, n_unmatched, n_wrong)",
     "routed": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {EACH}::BIGINT, {EACH if k > 1 else 0}::BIGINT)" for f, k in PHYSICS.items()) + ") t(family, n, n_taken_apart)",
+    "mono_vs_orch_problems": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {EACH}::BIGINT, {EACH if k == 1 else 0}::BIGINT, {EACH}::BIGINT, {0 if k == 1 else EACH}::BIGINT)" for f, k in PHYSICS.items())
+    + f", (NULL, {EACH * len(PHYSICS)}, {EACH * sum(k == 1 for k in PHYSICS.values())}, {EACH * len(PHYSICS)}, {EACH * sum(k > 1 for k in PHYSICS.values())})) t(family, n, n_mono, n_orch, delta)",
+    "manifest_rows": "SELECT doc_id, json_object('doc_id', doc_id, 'license', license, 'source', source, 'source_type', source_type)::VARCHAR AS line FROM (SELECT d.doc_id, d.source, d.source_type, m.license FROM documents d LEFT JOIN source_manifest m ON m.name = d.source)",
+    "markdown_report": f"""WITH c AS {CELLS}, s AS (SELECT DISTINCT suite FROM heldout_examples), f AS (SELECT DISTINCT family FROM c),
+        g AS (SELECT f.family, s.suite, CASE WHEN c.n IS NULL THEN '-' ELSE m || round_even(100e0 * h / n, 0)::INTEGER || '%' || m || ' (' || cell || ')' END AS shown
+              FROM (SELECT family, CASE WHEN family = '**overall**' THEN '**' ELSE '' END AS m FROM f) f CROSS JOIN s LEFT JOIN c ON c.family = f.family AND c.suite = s.suite)
+        SELECT 0 AS ord, '' AS family, '| family | ' || string_agg(suite, ' | ' ORDER BY suite) || ' |' AS line FROM s UNION ALL SELECT 1, '', '|' || repeat('---|', (count(*) + 1)::INTEGER) FROM s
+        UNION ALL SELECT CASE WHEN family = '**overall**' THEN 3 ELSE 2 END, family, '| ' || family || ' | ' || string_agg(shown, ' | ' ORDER BY suite) || ' |' FROM g GROUP BY family""",
     "bench_pivot": f"SELECT family, coalesce(COLUMNS(* EXCLUDE (family)), '-') FROM (PIVOT (SELECT family, suite, cell FROM {CELLS}) ON suite USING any_value(cell) GROUP BY family)",
     "top_p_tokens": """SELECT step, token, rank FROM (SELECT *, coalesce(sum(mass) OVER (PARTITION BY step ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(mass) OVER (PARTITION BY step) AS before
         FROM (SELECT step, token, rank, exp(logit - max(logit) OVER (PARTITION BY step)) AS mass FROM (SELECT user_id % 500 AS step, event_id AS token, value AS logit, row_number() OVER (PARTITION BY user_id % 500 ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 20)) WHERE before < 0.9""",

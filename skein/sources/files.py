@@ -8,10 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from skein.functions.text import unescape_html
+
 SOURCE_SCHEMA = "name string, domain string, license string, source_type string, urls array<string>"
 CATALOG_SCHEMA = (
     "doc_id string, source_name string, source_url string, domain string, license string, source_type string, raw_path string, cleaned_path string, "
@@ -63,7 +66,7 @@ def read_papers(spark: SparkSession, path: str) -> DataFrame:
     schema = "id string, title string, link array<struct<_href:string,_type:string>>, category array<struct<_term:string>>, `arxiv:primary_category` struct<_term:string>"
     entries = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
     pdf = F.filter("link", lambda x: x["_type"] == "application/pdf")
-    title = F.trim(F.regexp_replace("title", r"\s+", " "))
+    title = F.trim(unescape_html(F.regexp_replace("title", r"\s+", " ")))  # feeds escape titles twice
     out = entries.select(
         F.regexp_extract("id", r"([^/]*)$", 1).alias("arxiv_id"), title.alias("title"), F.try_element_at(pdf, F.lit(1))["_href"].alias("pdf_url"),
         F.filter(F.transform("category", lambda x: x["_term"]), lambda t: t.isNotNull() & (t != "")).alias("categories"), F.col("`arxiv:primary_category`._term").alias("primary_category"),
@@ -94,6 +97,11 @@ def read_tree(spark: SparkSession, root: str, include: list[str], exclude: list[
     return out.select("path", "relpath", "content")
 
 
+def open_folder(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path within it."""
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
 class ShardPartition(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -104,17 +112,17 @@ class ShardReader(DataSourceReader):
         self.folder, self.split = folder, split
 
     def partitions(self) -> list[ShardPartition]:
-        from pathlib import Path
-
-        found = sorted(Path(self.folder).glob(f"{self.split}-*.u32"))
-        if not found:
+        system, folder = open_folder(self.folder)
+        names = [f.path for f in system.get_file_info(fs.FileSelector(folder)) if fnmatch.fnmatchcase(f.base_name, f"{self.split}-*.u32")]
+        if not names:
             raise FileNotFoundError(f"no shard of {self.split} in {self.folder}")
-        return [ShardPartition(str(p)) for p in found]
+        return [ShardPartition(p) for p in sorted(names)]
 
     def read(self, partition: ShardPartition) -> Iterator[pa.RecordBatch]:
         name = partition.path.rsplit("/", 1)[1]
         split, _, number = name[: -len(".u32")].rpartition("-")
-        ids = np.fromfile(partition.path, dtype=np.uint32).astype(np.int32)
+        with open_folder(self.folder)[0].open_input_stream(partition.path) as data:
+            ids = np.frombuffer(data.read(), dtype=np.uint32).astype(np.int32)
         tokens = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))
         yield pa.RecordBatch.from_arrays([pa.array([split]), pa.array([int(number)], pa.int32()), tokens], ["split", "shard_idx", "tokens"])
 

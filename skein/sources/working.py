@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.scoring import pivot
+from skein.sources.files import open_folder
 from skein.session import ship
 
 MANIFEST_SCHEMA = (
@@ -21,11 +22,6 @@ MANIFEST_SCHEMA = (
 )
 
 
-def open_folder(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path, and the path within it."""
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: str = MANIFEST_SCHEMA) -> DataFrame:
     """One object a line, by a given schema, so nothing is read twice; unknown keys are left out, missing ones are null."""
     return spark.read.schema(schema).json(path)
