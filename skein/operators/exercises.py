@@ -105,6 +105,21 @@ SPOKEN = [
     Family("add_worded", {"a": (10, 9999), "b": (10, 9999)}, ("Compute {a} plus {b}.",), "{r}", "add column by column, with carries", (("add", "a", "b"),), {"r": "a + b"}),
     Family("sub_worded", {"a": (10, 9999), "b": (10, 9999)}, ("Compute {a} minus {b}.",), "{r}", "take the smaller number from the larger one, and give the sign", (("sub", "hi", "lo"), "so {a} - {b} = {r}"), {"r": "a - b", "hi": "greatest(a, b)", "lo": "least(a, b)"}),
 ]
+def quadratic(c: dict[str, Column]) -> Column:
+    """x^2 + bx + c as text."""
+    one = lambda n, power: A.term(n, F.lit(1), F.lit(power))
+    return A.polynomial_text(F.array(one(F.lit(1), 2), one(c["b"], 1), one(c["c"], 0)))
+
+
+SYMBOLIC = [
+    Family("roots", {"p": (-10, 10), "q": (-10, 10)}, ("Find the roots of x^2 + ({b})x + ({c}) = 0.",), "x = {low}, x = {high}", "look for two numbers by their sum and product", ("{p} + {q} is the sum and {p} * {q} = {c} the product that are wanted", "so the equation is (x - ({p}))(x - ({q})) = 0"), {"b": "0 - (p + q)", "c": "p * q", "low": "least(p, q)", "high": "greatest(p, q)"}),
+    Family("equation", {"p": (-9, 8), "w": (1, 17)}, ("Solve {poly} = 0 over the real numbers.",), "x = {p}, x = {q}", "factor the polynomial", ("the polynomial is (x - ({p}))(x - ({q}))",), {"q": "p + w", "b": "0 - (p + q)", "c": "p * q"}, {"poly": quadratic}),
+    Family("matrix", {n: (-5, 5) for n in ("a", "b", "c", "d", "e", "f", "g", "h")}, ("For A = [[{a}, {b}], [{c}, {d}]] and B = [[{e}, {f}], [{g}, {h}]], compute AB and det(A).",), "AB = [[{s}, {t}], [{u}, {v}]], det(A) = {z}", "rows by columns, and the product of one diagonal less that of the other",
+           ("the first row of AB is {s}, {t}", "the second row of AB is {u}, {v}", "({a})({d}) - ({b})({c}) = {z}"), {"s": "a * e + b * g", "t": "a * f + b * h", "u": "c * e + d * g", "v": "c * f + d * h", "z": "a * d - b * c"}),
+    Family("sine_limit", {"a": (1, 6)}, ("Evaluate lim_(x→0) sin({a}*x)/x.",), "{a}", "sin(y)/y goes to 1 as y goes to 0", ("sin({a}*x)/x = {a} * sin({a}*x)/({a}*x)",)),
+]
+#: Kinds of seed examples, in equal parts, and how many copies of the proofs there are for so many of them (fixed values).
+SEED_KINDS, PROOF_EVERY = ["add", "sub", "mul", "linear", "roots", "fraction", "odd_sum", "triangular"], 80
 #: Ranges of the numbers of the physics problems; q is the result of a division, so that it is whole (fixed values).
 PHYSICS_RANGES = {
     "newton": {"g1": (2, 99), "g2": (2, 50)}, "momentum": {"g1": (2, 99), "g2": (2, 99)}, "weight": {"g1": (2, 400), "g2": (10, 10)}, "potential": {"g1": (2, 80), "g2": (2, 80), "g3": (10, 10)}, "kinematics": {"g1": (2, 90), "g2": (2, 30), "g3": (2, 30)},
@@ -148,7 +163,7 @@ CHEMISTRY = [
     Family("dilution", {"c2": (2, 20), "k": (2, 6), "v1": (2, 9)}, ("A {c1} mol/L solution of volume {v1} L is adjusted to a volume of {v2} L. Find the new concentration.",), "{c2} mol/L", "the amount stays the same", (("mul", "c1", "v1"), ("div", "n", "v2")), {"c1": "c2 * k", "v2": "v1 * k", "n": "c1 * v1"}),
     Family("heat", {"m": (2, 20), "c": (1, 9), "t": (2, 20)}, ("How much heat is absorbed when {m} g of a substance with specific heat {c} J/(g°C) is heated by {t} °C?",), "{q} J", "mass, specific heat and rise are multiplied", (("mul", "m", "c"), ("mul", "mc", "t")), {"mc": "m * c", "q": "mc * t"}),
 ]
-FAMILIES = {f.name: f for f in [*ARITHMETIC, *SPOKEN, *physics_families(), *CHEMISTRY]}
+FAMILIES = {f.name: f for f in [*ARITHMETIC, *SPOKEN, *SYMBOLIC, *physics_families(), *CHEMISTRY]}
 
 #: Statements to prove, in the letters u and v (fixed values), with what they conclude, and our proofs.
 PROOFS = [
@@ -357,6 +372,15 @@ def curriculum(spark: SparkSession, count: int, seed: int, holdout: DataFrame, l
     return share_out(rows, targets | rest)
 
 
+def seed_examples(spark: SparkSession, count: int, seed: int) -> DataFrame:
+    """family, i, prompt, completion, answer: plain examples of all kinds in equal parts, and proofs about odd and even numbers and sums again and again; held-out prompts are not left out."""
+    per_kind = -(-count // len(SEED_KINDS))
+    out = exercises(spark, SEED_KINDS, per_kind, seed, plain=True)
+    some = proofs(spark, ["n"]).where(F.col("prompt").startswith(PROOF_PREFIXES[0]) & ~F.col("prompt").contains("integer"))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(max(1, count // PROOF_EVERY)).cast("bigint")))
+    return out.unionByName(some.withColumn("i", copies))
+
+
 def distinct_prompts(rows: DataFrame, by: str = "family") -> DataFrame:
     """Of each family the distinct prompts, with the least completion of each."""
     return rows.groupBy(by, "prompt").agg(F.min("completion").alias("completion"))

@@ -104,6 +104,8 @@ MORE: dict[str, str] = {
     "math_exercises": all_of([f.name for f in X.ARITHMETIC if f.name not in ("derivative", "integral")]),
     "physics_exercises": all_of(list(PHYSICS)),
     "chemistry_exercises": all_of([f.name for f in X.CHEMISTRY]),
+    "symbolic_exercises": all_of([f.name for f in X.SYMBOLIC if f.name != "equation"]),
+    "sft_seed": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {ROWS // 8}::BIGINT, {ROWS // 8}::BIGINT)" for k in X.SEED_KINDS) + f", ('proof', {4 * (ROWS // X.PROOF_EVERY)}, {ROWS // X.PROOF_EVERY})) t(family, n, n_drawn)",
     "benchmark_problems": all_of(X.BENCHMARK, plain=True),
     "fact_solutions": facts(),
     "proof_solutions": proofs(),

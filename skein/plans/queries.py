@@ -18,6 +18,7 @@ from skein.operators import scoring as S
 from skein.operators import shards as H
 from skein.operators import web as W
 from skein.operators.ordered import first_of
+from skein.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,13 +28,18 @@ EXCLUDED = ["math_webnotes_extra"]
 TEXT_SHARD, TOKEN_SHARD, CONTEXT = 200_000, 10_000, 64
 
 
+#: Tables whose rows are costly.
+TEXTUAL = ("documents", "sft_examples")
+
+
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
     return function
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXTUAL else df
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:

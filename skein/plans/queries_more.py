@@ -54,6 +54,16 @@ def benchmark_problems(spark, sf):
     return made(spark, X.BENCHMARK, plain=True)
 
 
+@query
+def symbolic_exercises(spark, sf):
+    return made(spark, [f.name for f in X.SYMBOLIC if f.name != "equation"])
+
+
+@query
+def sft_seed(spark, sf):
+    return X.seed_examples(spark, ROWS, SEED).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("i").alias("n_drawn"))
+
+
 @query
 def polynomial_exercises(spark, sf):
     """With worked solutions; unit tests hold them against exact fractions."""

@@ -49,6 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own.as_uri()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it comes in fewer, as from a single file with one row group.
+
+    A table that is large enough for all cores is left as it is; no large table is shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 #: Folders of intermediate tables that are still there, by application.
 _written: dict[str, set[str]] = {}
 

@@ -82,6 +82,23 @@ def test_polynomials(made):
     assert seen == 50
 
 
+def test_symbolic_families(spark):
+    rows = X.exercises(spark, [f.name for f in X.SYMBOLIC], 20, 5).collect()
+    for r in rows:
+        n = list(map(int, re.findall(r"(?<![\w^])-?\d+", r["answer"])))
+        if r["family"] == "roots":
+            b, c = map(int, re.findall(r"\((-?\d+)\)", r["prompt"]))
+            assert b == -sum(n) and c == n[0] * n[1] and n[0] <= n[1]
+        if r["family"] == "equation":
+            terms = terms_of(re.match(r"Solve (.*) = 0", r["prompt"])[1])
+            assert all(sum(v * x**k for k, v in terms.items()) == 0 for x in n) and n[0] < n[1]
+        if r["family"] == "matrix":
+            a, b, c, d, e, f, g, h = map(int, re.findall(r"-?\d+", r["prompt"]))
+            assert n == [a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h, a * d - b * c]
+    seeds = X.seed_examples(spark, 160, 1)
+    assert {r["family"]: r["count"] for r in seeds.groupBy("family").count().collect()} == dict.fromkeys(X.SEED_KINDS, 20) | {"proof": 8}
+
+
 def test_fractions_and_monomials(spark):
     c = lambda *v: [F.lit(x) for x in v]
     shown = [A.monomial_text(*c(1, 1, 3)), A.monomial_text(*c(-1, 1, 1)), A.monomial_text(*c(-3, 2, 2)), A.monomial_text(*c(5, 1, 0)), A.signed_term(F.lit(-4)), A.signed_term(F.lit(0)), A.fraction_text(*A.reduced(F.lit(-6), F.lit(4))), A.lcm(F.lit(6), F.lit(4)).cast("string")]
