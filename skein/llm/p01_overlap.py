@@ -67,8 +67,8 @@ def texts(records: DataFrame) -> DataFrame:
     return rows.withColumn("key", wide("field", numbers(F.col("text"))))
 
 
-def overlap_pairs(records: DataFrame) -> DataFrame:
-    """eval_id, train_id, field: every pair of an evaluation and a training record that match in a field."""
+def overlap_classes(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """evals (a, x), trains (b, y) and matched (a, b): the classes of all records, and which of them match."""
     rows = texts(records)
     shared = rows.groupBy("key").agg(F.max("train").alias("t"), F.min("train").alias("e")).where("t and not e").select("key")
     near = rows.join(shared, "key", "left_semi").select("id", "train", "field", "key", words(F.col("text")).alias("words"), F.size(numbers(F.col("text"))).alias("n_numbers"))
@@ -110,10 +110,37 @@ def overlap_pairs(records: DataFrame) -> DataFrame:
 
     evals = members.where("not train").select(F.col("cls").alias("a"), F.col("id").alias("x"))
     trains = members.where("train").select(F.col("cls").alias("b"), F.col("id").alias("y"))
+    return evals, trains, matched
+
+
+def overlap_pairs(records: DataFrame) -> DataFrame:
+    """eval_id, train_id: every pair of an evaluation and a training record that match in a field."""
+    evals, trains, matched = overlap_classes(records)
     pairs = expand(matched, evals, trains).where("x <> y")
     return pairs.select(F.col("x").alias("eval_id"), F.col("y").alias("train_id")).distinct()
 
 
+def pair_counts(records: DataFrame) -> DataFrame:
+    """eval_id, pairs: how many training records match each evaluation record, of those that have any.
+
+    Records with the same classes are counted together: only kinds of records are paired, never the records.
+    """
+    evals, trains, matched = overlap_classes(records)
+
+    def kinds(members: DataFrame, cls: str, record: str, kind: str) -> DataFrame:
+        """record, kind, classes; a record has two classes, or a few more if it was delivered again."""
+        return materialize(members.groupBy(record).agg(F.sort_array(F.collect_set(cls)).alias("classes")).select(record, F.md5(F.to_json("classes")).alias(kind), "classes"), f"p1-{kind}")
+
+    left, right = kinds(evals, "a", "x", "e"), kinds(trains, "b", "y", "t")
+    of = lambda rows, kind, cls, name: rows.select(F.col(kind).alias(name), F.explode("classes").alias(cls)).distinct()
+    both = materialize(expand(matched, of(left, "e", "a", "x"), of(right, "t", "b", "y")).select(F.col("x").alias("e"), F.col("y").alias("t")).distinct(), "p1-kinds")
+    sums = both.join(right.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "t").groupBy("e").agg(F.sum("n").alias("n"))
+    # a record of both sides doesn't count for itself
+    same = left.select("x", "e").join(right.select(F.col("y").alias("x"), "t"), "x").join(both, ["e", "t"]).select("x", F.lit(1).alias("own"))
+    out = left.select("x", "e").join(sums, "e").join(same, "x", "left").select(F.col("x").alias("eval_id"), (F.col("n") - F.coalesce("own", F.lit(0))).alias("pairs"))
+    return out.where("pairs > 0")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = overlap_pairs(table(spark, sf_dir, "sft_examples", "example_id", "split", "prompt", "completion"))
     return pairs.select(F.least("eval_id", "train_id").alias("example_id_a"), F.greatest("eval_id", "train_id").alias("example_id_b")).distinct()
@@ -125,7 +152,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     A record delivered again counts by the split and source of its latest delivery; a null source is ''.
     """
     rows = table(spark, sf_dir, "sft_examples", "example_id", "split", "source", "prompt", "completion", "built_at")
-    pairs = overlap_pairs(rows).groupBy("eval_id").agg(F.count(F.lit(1)).alias("pairs"))
+    pairs = pair_counts(rows)
     evals = rows.where("example_id is not null").groupBy("example_id").agg(F.max(F.struct("built_at", folded(F.col("split")).alias("split"), F.coalesce("source", F.lit("")).alias("source"))).alias("r"))
     evals = evals.select("example_id", "r.split", "r.source").where("split is not null and split <> '' and split <> 'train'")
     return evals.join(pairs, F.col("example_id") == F.col("eval_id"), "left").groupBy("split", "source").agg(

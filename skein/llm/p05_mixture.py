@@ -10,7 +10,7 @@ about one record.
 Records are dealt to blocks of about BLOCK by a hash of their id.  Each block of a bucket is rounded on
 its own and leaves at most one fractional record; FAN blocks' residuals are combined in the next
 level, up to one per bucket, which is drawn at last.  No task sees more than one block.  The random
-numbers come from hashes of the ids, so a rerun gives the same copies.
+numbers come from hashes of the ids and a seed, so a rerun gives the same copies and another seed others.
 
 The total T is a parameter; by default it is the largest at which all buckets with records reach their
 share.  Fractions are taken as given and need not sum to 1.
@@ -39,11 +39,11 @@ BLOCK, FAN = 8192, 64
 NEAR = 1e-9
 
 
-def draw(doc: str, level: int) -> float:
-    return xxhash.xxh3_64_intdigest(doc, seed=level) / 2.0**64
+def draw(doc: str, level: int, seed: int) -> float:
+    return xxhash.xxh3_64_intdigest(doc, seed=(seed << 8) + level) / 2.0**64
 
 
-def pivotal(docs: list[str], p: list[float], level: int) -> list[float]:
+def pivotal(docs: list[str], p: list[float], level: int, seed: int = 0) -> list[float]:
     """The fractions after the records met one after another; at most one is neither 0 nor 1."""
     out = list(p)
     held = -1
@@ -54,7 +54,7 @@ def pivotal(docs: list[str], p: list[float], level: int) -> list[float]:
         if held < 0:
             held = i
             continue
-        a, b, u = out[held], out[i], draw(docs[i], level)
+        a, b, u = out[held], out[i], draw(docs[i], level, seed)
         if a + b < 1 - NEAR:  # one falls to 0
             keep, lose = (held, i) if u < a / (a + b) else (i, held)
             out[keep], out[lose], held = a + b, 0.0, keep
@@ -67,18 +67,18 @@ def pivotal(docs: list[str], p: list[float], level: int) -> list[float]:
     return out
 
 
-def round_block(level: int) -> Callable[[pa.Table], pa.Table]:
+def round_block(level: int, seed: int) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
         docs, size = group["doc_id"].to_pylist(), group["size"].to_numpy()
         order = sorted(range(len(docs)), key=lambda i: (size[i], docs[i]))
         rounded = np.empty(len(docs))
-        rounded[order] = pivotal([docs[i] for i in order], [group["p"][i].as_py() for i in order] if len(order) < 32 else group["p"].to_numpy()[order].tolist(), level)
+        rounded[order] = pivotal([docs[i] for i in order], [group["p"][i].as_py() for i in order] if len(order) < 32 else group["p"].to_numpy()[order].tolist(), level, seed)
         return group.set_column(group.schema.get_field_index("p"), "p", pa.array(rounded))
 
     return run
 
 
-def mix(records: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+def mix(records: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0) -> DataFrame:
     """records: doc_id STRING, bucket STRING, size BIGINT, one row per doc_id; targets: bucket, target_fraction, max_repeats, a small table with one row per bucket.
 
     Returns doc_id, bucket, size, copies BIGINT.
@@ -107,13 +107,13 @@ def mix(records: DataFrame, targets: DataFrame, total: int | None = None) -> Dat
     settled = []
     blocks = max([k for _, _, k in plan], default=0)
     while True:
-        rows = materialize(rows.groupBy("bucket", "block").applyInArrow(round_block(level), schema), f"p5-level{level}")
+        rows = materialize(rows.groupBy("bucket", "block").applyInArrow(round_block(level, seed), schema), f"p5-level{level}")
         settled.append(rows.where("p = 0 or p = 1"))
         rows = rows.where("p > 0 and p < 1").withColumn("block", F.expr(f"block div {FAN}"))
         if blocks <= 1:
             break
         blocks, level = -(-blocks // FAN), level + 1
-    last = rows.withColumn("p", F.when(F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(1 << 30)) / (1 << 30) < F.col("p"), 1.0).otherwise(0.0))
+    last = rows.withColumn("p", F.when(F.pmod(F.xxhash64("doc_id", F.lit(level), F.lit(seed)), F.lit(1 << 30)) / (1 << 30) < F.col("p"), 1.0).otherwise(0.0))
     done = last
     for part in settled:
         done = done.unionByName(part)

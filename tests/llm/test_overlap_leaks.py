@@ -44,7 +44,15 @@ def test_overlap_equals_brute_force(spark):
     df = spark.createDataFrame(rows, SFT)
     got = {(min(r["eval_id"], r["train_id"]), max(r["eval_id"], r["train_id"])) for r in P1.overlap_pairs(df.withColumnRenamed("source", "key")).collect()}
     assert got == want and len(want) > 20
-    assert P1.overlap_pairs(df.limit(0)).count() == 0
+    counts = Counter(r["eval_id"] for r in P1.overlap_pairs(df).collect())
+    assert {r["eval_id"]: r["pairs"] for r in P1.pair_counts(df).collect()} == counts
+    assert P1.overlap_pairs(df.limit(0)).count() == 0 and P1.pair_counts(df.limit(0)).count() == 0
+
+
+def test_records_on_both_sides_count_for_others_only(spark):
+    rows = [(1, "train", "s", "f", "add 7 hens", None, None), (1, "test", "s", "f", "add 7 hens", "x", None), (2, "train", "s", "f", "add 7 hens", None, None), (3, "test", "s", "f", "add 7 hens", None, None), (4, "test", "s", "f", "other 9", None, None)]
+    df = spark.createDataFrame(rows, SFT)
+    assert {r["eval_id"]: r["pairs"] for r in P1.pair_counts(df).collect()} == {1: 1, 3: 2}
 
 
 def test_hot_class_is_expanded_whole(spark):
