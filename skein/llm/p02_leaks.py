@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.tables import table
-from skein.llm.textwork import WORD, U, WordIds, Words, folded_form, mix, shingles, sliding_min, whole
+from skein.llm.tables import bitmap, table
+from skein.llm.textwork import WORD, U, WordIds, Words, folded_form, held, shingles, sliding_min, whole
 from skein.session import materialize, ship
 
 PASSAGE = 13
@@ -163,7 +163,8 @@ def sketch(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 def slot_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(hashes) >> U(64 - bits)).astype(np.int64)
+    """The low bits: a least hash is small, but its low bits are as even as those of any other."""
+    return (hashes & U((1 << bits) - 1)).astype(np.int64)
 
 
 def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,19 +184,6 @@ def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["item_id", "passage", "size", "sketch", "words"])
 
 
-def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
-    """slots: slot BIGINT. The bitmap of all slots, of fixed size, put together from parts of 32,768 bits."""
-    parts = slots.groupBy(F.expr("slot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for part, data in zip(parts["part"].to_pylist(), parts["bits"].to_pylist()):
-        out[part * 4096 : (part + 1) * 4096] = np.frombuffer(data, np.uint8)[:4096]
-    return out
-
-
-def held(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
-
-
 class Known(dict):
     """Whether a word may be one of the items' words."""
 

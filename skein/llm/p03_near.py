@@ -47,8 +47,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.tables import expand, table
-from skein.llm.textwork import U, WordIds, Words, mix, plain_words, shingles, whole
+from skein.llm.tables import bitmap, expand, table
+from skein.llm.textwork import U, WordIds, Words, held, mix, plain_words, shingles, whole
 from skein.session import materialize, release, ship
 
 WIDTH = 3
@@ -260,7 +260,7 @@ def outside(slots):
     def run(inside: bool):
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(slots.value[batch.column(batch.num_columns - 1).to_numpy()] == inside))
+                yield batch.filter(pa.array(held(slots.value, batch.column(batch.num_columns - 1).to_numpy()) == inside))
 
         return pick
 
@@ -373,13 +373,8 @@ def wanted_slot() -> Column:
 
 
 def wanted_filter(wanted: DataFrame) -> np.ndarray:
-    """Which slots hold a wanted doc_id: a bitmap of fixed size, put together from parts of 32,768 bits."""
-    slot = wanted.select(wanted_slot().alias("slot"))
-    parts = slot.groupBy(F.expr("slot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits")).toArrow()
-    out = np.zeros(1 << WANTED_BITS, bool)
-    for part, bits in zip(parts["part"].to_pylist(), parts["bits"].to_pylist()):
-        out[part * 32768 : (part + 1) * 32768] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")[:32768]
-    return out
+    """Which slots hold a wanted doc_id."""
+    return bitmap(wanted.select(wanted_slot().alias("slot")), WANTED_BITS)
 
 
 def shingle_sets(wanted):
@@ -388,7 +383,7 @@ def shingle_sets(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.value[batch.column(2).to_numpy()]))
+            batch = batch.filter(pa.array(held(wanted.value, batch.column(2).to_numpy())))
             for docs, texts in pieces(batch, 256):
                 owner, hashed, counts = distinct(texts, ids)
                 if not len(hashed):

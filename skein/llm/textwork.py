@@ -93,3 +93,8 @@ def plain_words(text: str) -> list[str]:
 def folded_form(text: str) -> str:
     """Compatibility forms of characters replaced, case folded."""
     return (text if text.isascii() else unicodedata.normalize("NFKC", text)).casefold()
+
+
+def held(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which slots are set in a bitmap."""
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
