@@ -18,7 +18,7 @@ from skein.operators import scoring as S
 from skein.operators import shards as H
 from skein.operators import web as W
 from skein.operators.ordered import first_of
-from skein.session import spread
+from skein.session import materialize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -288,6 +288,7 @@ def eligible_join(spark, sf):
 
 def selected(spark, sf, kinds=False):
     ok = judged(spark, sf, kinds).where("reason = 'ok'").select("doc_id", "source", "bucket", "quality", "n_tokens", *(["topic", "format"] if kinds else []))
+    ok = materialize(ok, "eligible")  # the total and the ranging of the sample read it again
     total = ok.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] // 2
     return U.budgeted_sample(ok, table(spark, sf, "mixture_spec"), int(total))
 
