@@ -24,9 +24,13 @@ filter that loses nothing; they are verified exactly.
   everywhere loses no pair.  Shingles whose counter is 1 stand in one document only and need no partner.
 * Hot shingles.  The holders of a shingle with a counter over HOT are dealt to blocks of about HOT, and every
   pair of blocks meets on its own, so no task gets more than two blocks.
-* Parities.  Each document has a bitmap of 4 to 8 bits a shingle, in which every shingle flips a bit.  The bits in which
+* Parities.  Each document has a bitmap of 2 to 4 bits a shingle, in which every shingle flips a bit.  The bits in which
   two documents differ are no more than the shingles in which they differ, so candidates with too many are
-  dropped before any set is moved.
+  dropped before any set is moved.  In a large collection a shingle has many holders and nearly all of their pairs are
+  no match: the holders of a shingle with a counter of SKETCHED and more bring their bitmaps along, and to their bands if
+  half of their prefix is of that kind, and such pairs are dropped where they meet and are never written.
+* Turns.  Holders meet in turns, each with its share of the keys, so that the rows of a turn take no more than TURN of the
+  space of the signatures, at every size of the collection.
 * Verification.  Each remaining pair is compared by its whole shingle sets: weighted Jaccard
   similarity (reported) and the share of common shingles, which decides.
 
@@ -39,8 +43,10 @@ rows of a document count once; a class of equal texts is a group even without fu
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +68,10 @@ SLOT_BITS = 24
 SLOTS, BLOCK = 1 << SLOT_BITS, 1 << 16
 #: Holders of a shingle that meet in one task.
 HOT = 20_000
+#: Holders of a shingle from which on they bring their parities along.
+SKETCHED = 16
+#: Bytes of the rows that meet in one turn, at most, as a share of the bytes of the signatures.
+TURN = 1.5
 #: Bits of the filter of wanted documents.
 WANTED_BITS = 24
 #: Weights are rounded to powers of sqrt(2): level L stands for 2 ** (L / 2).
@@ -197,8 +207,8 @@ def prefixes(owner: np.ndarray, hashed: np.ndarray, often: np.ndarray, starts: n
 
 
 def parities(owner: np.ndarray, hashed: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """A bitmap of each text with 4 to 8 bits a shingle, of which every shingle flips one."""
-    bits = np.maximum(64, 2 ** np.ceil(np.log2(4 * sizes)).astype(np.int64))
+    """A bitmap of each text with 2 to 4 bits a shingle, of which every shingle flips one."""
+    bits = np.maximum(64, 2 ** np.ceil(np.log2(2 * sizes)).astype(np.int64))
     at = np.cumsum(bits) - bits
     row = np.repeat(np.arange(len(sizes)), sizes)
     odd = np.bincount(at[row] + (hashed & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(bits.sum())) & 1
@@ -213,10 +223,23 @@ def weigh(hashed: np.ndarray, counts: np.ndarray, heavy: tuple[np.ndarray, int])
     return (1 + np.log(counts)) * np.clip(idf, 0.05, -np.log(THETA))
 
 
-SIGNED = ["doc_id", "key_a", "key_b", "bands", "size", "skipped", "prefix", "bits"]
+SIGNED = ["doc_id", "key_a", "key_b", "bands", "size", "skipped", "prefix", "bits", "posted"]
 
 
-def signer(heavy):
+def common(holders: np.ndarray, row: np.ndarray, count: int) -> np.ndarray:
+    """Of which texts half of the prefix has SKETCHED holders and more."""
+    return 2 * np.bincount(row, holders >= SKETCHED, count) >= np.maximum(1, np.bincount(row, minlength=count))
+
+
+def posted(prefix: pa.ListArray, bits: np.ndarray, counters: np.ndarray, hot: int) -> np.ndarray:
+    """Bytes of the postings of each text, of which key, document and place take 16 when compressed; bits: the bytes of its parities."""
+    holders = MEANT[counters[slots_of(prefix.flatten().to_numpy().view(np.uint64))]]
+    row = np.repeat(np.arange(len(bits)), np.diff(prefix.offsets.to_numpy()))
+    each = np.maximum(1, np.ceil(holders / hot)) * (16 + np.where(holders >= SKETCHED, bits[row], 0))
+    return (BANDS * (16 + np.where(common(holders, row, len(bits)), bits, 0)) + np.bincount(row, each, len(bits))).astype(np.int64)
+
+
+def signer(heavy, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tables = WordIds(), sample_tables(BANDS * ROWS)
         low40 = U((1 << 40) - 1)
@@ -243,8 +266,10 @@ def signer(heavy):
                 flat = pa.array(bands.ravel().view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), flat)
                 skipped, prefix = prefixes(owner, hashed, heavy.value[0][slots_of(hashed)], starts, sizes)
+                bits = parities(owner, hashed, sizes)
+                cost = posted(prefix, np.fromiter(map(len, bits), np.int64, len(bits)), heavy.value[0], hot)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs[owner[starts]]), pa.array(key_a.view(np.int64)), pa.array(key_b.view(np.int64)), lists, pa.array(sizes, pa.int32()), pa.array(skipped, pa.int32()), prefix, pa.array(parities(owner, hashed, sizes), pa.binary())],
+                    [pa.array(docs[owner[starts]]), pa.array(key_a.view(np.int64)), pa.array(key_b.view(np.int64)), lists, pa.array(sizes, pa.int32()), pa.array(skipped, pa.int32()), prefix, pa.array(bits, pa.binary()), pa.array(cost)],
                     SIGNED,
                 )
 
@@ -267,8 +292,8 @@ def outside(slots):
     return run
 
 
-def postings(heavy, hot: int):
-    """key, d, place: the bands of each document (place -1) and its prefix (size and place in one number); hot shingles once for each pair of blocks."""
+def postings(heavy, hot: int, turns: int, turn: int):
+    """key, d, place, bits of the keys of a turn: the bands of each document (place -1 - size) and its prefix (size and place in one number); hot shingles once for each pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,8 +308,12 @@ def postings(heavy, hot: int):
         row = np.repeat(np.arange(len(doc)), many)
         at = np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many) + skipped[row]
         holders = MEANT[heavy.value[0][slots_of(token.view(np.uint64))]]
+        banded = np.flatnonzero(band.view(np.uint64) % U(turns) == U(turn))
+        band_bits = common(holders, row, len(doc))[banded // BANDS]
+        now = token.view(np.uint64) % U(turns) == U(turn)
+        token, row, at, holders = token[now], row[now], at[now], holders[now]
         cold = holders <= hot
-        keys, owners, places = [token[cold]], [row[cold]], [at[cold]]
+        keys, owners, places, with_bits = [token[cold]], [row[cold]], [at[cold]], [holders[cold] >= SKETCHED]
         for k in np.flatnonzero(~cold).tolist():
             blocks = int(-(-holders[k] // hot))
             own = int(mix(np.array([doc[row[k]]]).astype(np.uint64))[0]) % blocks
@@ -293,36 +322,40 @@ def postings(heavy, hot: int):
             keys.append(mix(token[k : k + 1].view(np.uint64) + mix(low * U(blocks) + high + U(1))).view(np.int64))
             owners.append(np.full(blocks, row[k]))
             places.append(np.full(blocks, at[k]))
-        owner = np.concatenate(owners)
-        spots = size[owner].astype(np.int64) << 32 | np.concatenate(places)
-        columns = [np.concatenate([band, *keys]), np.concatenate([np.repeat(doc, BANDS), doc[owner]]), np.concatenate([np.full(len(band), -1), spots])]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "d", "place"])
+            with_bits.append(np.full(blocks, holders[k] >= SKETCHED))
+        owner = np.concatenate([banded // BANDS, *owners])
+        spots = np.concatenate([-1 - size[banded // BANDS].astype(np.int64), size[owner[len(banded) :]].astype(np.int64) << 32 | np.concatenate(places)])
+        bits = batch.column("bits").take(pa.array(owner, mask=~np.concatenate([band_bits, *with_bits])))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([band[banded], *keys])), pa.array(doc[owner]), pa.array(spots), bits], ["key", "d", "place", "bits"])
 
     return run
 
 
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, d, place in order of key and place -> a, b: the pairs of each key that can match by length and position."""
+    """key, d, place, bits (or none) in order of key and place -> a, b: the pairs of each key that can match by length, position and parities."""
     held = [np.zeros(0, np.int64)] * 3
+    bits = pa.array([], pa.binary())
     fresh = 0  # the held rows before this place have met each other
     for batch in batches:
         rows = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+        bits = pa.concat_arrays([bits, batch.column(3) if batch.num_columns > 3 else pa.nulls(batch.num_rows, pa.binary())])
         key, _, spot = rows
         if not len(key):
             continue
-        yield from meet(rows, fresh)
+        yield from meet(rows, bits, fresh)
         # rows of the last key wait for more of it: of a band the neighbours, of a shingle all
         last = int(np.searchsorted(key, key[-1]))
         if spot[-1] < 0:
             last = max(last, len(key) - NEIGHBOURS)
-        held = [r[last:] for r in rows]
+        held, bits = [r[last:] for r in rows], bits.slice(last)
         fresh = len(held[0])
 
 
-def meet(rows: list[np.ndarray], fresh: int) -> Iterator[pa.RecordBatch]:
+def meet(rows: list[np.ndarray], bits: pa.BinaryArray, fresh: int) -> Iterator[pa.RecordBatch]:
     up, down = THRESHOLD
     key, d, spot = rows
     size, at = spot >> 32, spot & 0xFFFFFFFF  # of bands the size is -1
+    match = matcher(bits, np.where(spot < 0, -1 - spot, size))
     n = len(key)
     place = np.arange(n)
     new = np.append(True, (key[1:] != key[:-1]) | ((size[1:] < 0) != (size[:-1] < 0)))
@@ -341,14 +374,46 @@ def meet(rows: list[np.ndarray], fresh: int) -> Iterator[pa.RecordBatch]:
         left = np.repeat(place[begin:end], many[begin:end])
         right = np.arange(len(left)) - np.repeat(done[begin:end] - done[begin], many[begin:end]) + since[left]
         fits = (size[left] < 0) | ((up + down) * (size[right] - at[right]) >= up * (size[left] + size[right]))
-        left, right = d[left[fits]], d[right[fits]]
-        other = left != right
-        left, right = left[other], right[other]
+        left, right = left[fits], right[fits]
+        alike = match(left, right) & (d[left] != d[right])
+        left, right = d[left[alike]], d[right[alike]]
         if len(left):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
         begin = end
 
 
+def matcher(bits: pa.BinaryArray, size: np.ndarray):
+    """Tells of pairs of rows whether their parities differ in no more bits than a match allows; rows without parities match all."""
+    up, down = THRESHOLD
+    data = np.frombuffer(bits.buffers()[2] or b"", np.uint8)
+    data = data[: len(data) // 8 * 8].view(np.uint64)
+    at = np.frombuffer(bits.buffers()[1] or bytes(4), np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64) // 8
+    words = np.diff(at)
+
+    def of(row: np.ndarray, count: int, wanted: int) -> np.ndarray:
+        x = data[at[row][:, None] + np.arange(count)]
+        while x.shape[1] > wanted:  # in halves
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        return x
+
+    def match(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keep = np.ones(len(left), bool)
+        kind = words[left] << 32 | words[right]
+        for k in np.unique(kind).tolist():
+            one, two = k >> 32, k & 0xFFFFFFFF
+            if not (one and two):
+                continue
+            rows, step, wanted = np.flatnonzero(kind == k), max(1, (1 << 19) // max(one, two)), min(one, two)
+            for start in range(0, len(rows), step):
+                some = rows[start : start + step]
+                x, y = left[some], right[some]
+                differ = np.bitwise_count(of(x, one, wanted) ^ of(y, two, wanted)).sum(axis=1, dtype=np.int64)
+                keep[some] = (up + down) * differ <= (down - up) * (size[x] + size[y])
+        return keep
+
+    return match
+
+
 def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b, m, x, n, y (sizes and parities) -> the pairs whose parities differ in no more bits than a match allows."""
     up, down = THRESHOLD
@@ -430,6 +495,36 @@ def verify(heavy):
     return run
 
 
+def members_of(signed: DataFrame) -> DataFrame:
+    """doc_id, rep (least doc_id with the same shingle set), n (the class's size)."""
+    keys = signed.select("doc_id", "key_a", "key_b").distinct()
+    classes = keys.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    return keys.join(classes, ["key_a", "key_b"]).select("doc_id", "rep", "n")
+
+
+def turns_of(signed: DataFrame) -> int:
+    """In how many turns the holders of keys meet."""
+    stored = F.octet_length("bits") + 8 * F.size("prefix") + 8 * BANDS + 40
+    needed, held = signed.agg(F.sum("posted"), F.sum(stored)).first()
+    return max(1, math.ceil((needed or 0) / (TURN * (held or 1))))
+
+
+def originals(signed: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows that take part in pairing: no copies. What isn't in a slot of a copy is no copy, and only the others are looked up."""
+    slots = signed.sparkSession.sparkContext.broadcast(wanted_filter(members.where("doc_id <> rep").select("doc_id")))
+    parts = signed.select("doc_id", "size", "skipped", "bands", "prefix", "bits").withColumn("slot", wanted_slot())
+    pick = outside(slots)
+    sure = parts.mapInArrow(pick(False), parts.schema)
+    rest = parts.mapInArrow(pick(True), parts.schema).join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    return sure.unionByName(rest).drop("slot").withColumnRenamed("doc_id", "d")
+
+
+def candidates(kept: DataFrame, posted) -> DataFrame:
+    """a, b: the pairs that meet in a turn."""
+    rows = kept.mapInArrow(posted, "key bigint, d bigint, place bigint, bits binary")
+    return rows.repartition("key").sortWithinPartitions("key", "place").mapInArrow(meetings, "a bigint, b bigint").distinct()
+
+
 def near_classes(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """documents: doc_id BIGINT, text STRING.
 
@@ -440,26 +535,25 @@ def near_classes(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataF
     ship(spark)
     documents = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     heavy = spark.sparkContext.broadcast(frequencies(documents))
-    signed = documents.mapInArrow(signer(heavy), "doc_id bigint, key_a bigint, key_b bigint, bands array<bigint>, size int, skipped int, prefix array<bigint>, bits binary")
+    signed = documents.mapInArrow(signer(heavy, hot), "doc_id bigint, key_a bigint, key_b bigint, bands array<bigint>, size int, skipped int, prefix array<bigint>, bits binary, posted bigint")
     signed = materialize(signed, "p3-signed")
-    keys = signed.select("doc_id", "key_a", "key_b").distinct()
-    classes = keys.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    members = materialize(keys.join(classes, ["key_a", "key_b"]).select("doc_id", "rep", "n"), "p3-members")
-
-    # copies take no part in pairing.  What isn't in a slot of a copy is no copy; only the others are looked up.
-    slots = spark.sparkContext.broadcast(wanted_filter(members.where("doc_id <> rep").select("doc_id")))
-    parts = signed.select("doc_id", "size", "skipped", "bands", "prefix").withColumn("slot", wanted_slot())
-    pick = outside(slots)
-    sure = parts.mapInArrow(pick(False), parts.schema)
-    rest = parts.mapInArrow(pick(True), parts.schema).join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    rows = sure.unionByName(rest).withColumnRenamed("doc_id", "d").mapInArrow(postings(heavy, hot), "key bigint, d bigint, place bigint")
-    met = rows.repartition("key").sortWithinPartitions("key", "place").mapInArrow(meetings, "a bigint, b bigint")
-    pairs = materialize(met.distinct(), "p3-pairs")
+    members = materialize(members_of(signed), "p3-members")
     release(spark)
-    bits = signed.select("doc_id", "size", "bits")
+    turns = turns_of(signed)
+    kept = materialize(originals(signed, members), "p3-kept")
+    release(spark, signed)
+    met = []
+    for turn in range(turns):
+        met.append(materialize(candidates(kept, postings(heavy, hot, turns, turn)), "p3-pairs"))
+        release(spark)
+    pairs = reduce(DataFrame.union, met)
+    if turns > 1:
+        pairs = pairs.distinct()
+    bits = kept.select("d", "size", "bits")
     both = pairs.join(bits.toDF("a", "m", "x"), "a").join(bits.toDF("b", "n", "y"), "b").select("a", "b", "m", "x", "n", "y")
     near = materialize(both.mapInArrow(close, "a bigint, b bigint").distinct(), "p3-close")
-    release(spark, signed, pairs)
+    del both, pairs
+    release(spark, kept, *met)
 
     wanted = spark.sparkContext.broadcast(wanted_filter(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     sets = documents.withColumn("slot", wanted_slot()).mapInArrow(shingle_sets(wanted), "doc_id bigint, sh array<bigint>, tf array<int>")

@@ -140,3 +140,28 @@ def test_a_crowded_key_meets_in_parts():
     assert len(got) == len(set(got))
     assert {p for p in got if p[0] < n} == {(i, j) for i in range(n) for j in range(i + 1, n)}
     assert {p for p in got if p[0] >= n} == {(i, j) for i in range(n, n + 40) for j in range(i + 1, min(i + 1 + P3.NEIGHBOURS, n + 40))}
+
+
+def test_unrelated_holders_of_common_shingles_are_not_written(spark, monkeypatch):
+    """As in a large collection every shingle has many holders: hardly any of their pairs reach the disk, and every turn holds its share only."""
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(r.choice(words) for _ in range(120)) for _ in range(500)]
+    for _ in range(20):
+        w = r.choice(texts[:500]).split()
+        w[r.randrange(120)] = r.choice(words)
+        texts.append(" ".join(w))
+    written = []
+    kept = P3.materialize
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "p3-pairs":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(P3, "materialize", counted)
+    sets = [shingle_set(t) for t in texts]
+    want = {(i, j) for i in range(520) for j in range(i + 1, 520) if 5 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])}
+    assert found(*P3.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))) == want and len(want) >= 20
+    assert sum(written) < 1000 and len(written) > 1  # of 134,940 pairs
